@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenflow.llm import exact_packing, extendible_dedup
+from lumenflow.llm import exact_packing, extendible_dedup, tensor_minhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def _vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tensor_minhash.near_groups(_table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
@@ -26,6 +30,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
