@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: A lookup side whose groups hold at least this share of all rows has at most 1 / share rows.
 HOT_SHARE = 1 / 1000
 
+#: Rows of an Arrow batch: some megabytes of texts.
+BATCH_ROWS = 1000
+
 _SHIPPED: set[str] = set()
 
 
@@ -39,8 +42,9 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the workers this package, once for each application."""
+    """Give the workers this package, once for each application, and keep Arrow batches of long texts small."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parents[1]

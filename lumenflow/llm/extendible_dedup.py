@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 
 from lumenflow.llm import common
 
-MAX_DEPTH = 16
-#: Bytes of text that one bucket may hold before it splits.
-BUCKET_BYTES = 16 << 20
+MAX_DEPTH = 18
+#: Bytes of text that one bucket may hold before it splits, or a 2 ** -16 part of all where that is more.
+BUCKET_BYTES = 4 << 20
 #: Bytes of distinct texts that a map task keeps for merging before it writes them out.
-MERGE_BYTES = 48 << 20
+MERGE_BYTES = 24 << 20
 
 _ROW = "key long, sha binary, doc_id long, rid long, n long, size long, text string"
 _ROW_ARROW = pa.schema([("key", pa.int64()), ("sha", pa.binary()), ("doc_id", pa.int64()), ("rid", pa.int64()), ("n", pa.int64()), ("size", pa.int64()), ("text", pa.string())])
@@ -170,11 +170,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     entries, pages = index.filter("n = 0").select("key", "sha", "doc_id", "rid"), index.filter("n > 0")
     prefix = F.shiftrightunsigned(F.col("key"), 64 - MAX_DEPTH)
     weights = {r["p"]: r["w"] for r in pages.groupBy(prefix.cast("int").alias("p")).agg(F.sum("size").alias("w")).collect()}  # 2 ** MAX_DEPTH rows at most
-    directory = Directory(weights, bucket_bytes)
+    directory = Directory(weights, max(bucket_bytes, sum(weights.values()) >> 16))
     slot = F.shiftrightunsigned(F.col("key"), 64 - directory.depth) if directory.depth else F.lit(0)
-    slots = F.lit(directory.slots)
-    bucket = F.get(slots, slot.cast("int"))
-    owned = pages.repartition(max(1, directory.buckets), bucket).sortWithinPartitions("key")
+    slots = F.split(F.lit(",".join(map(str, directory.slots))), ",").cast("array<int>")  # folded to one constant
+    owned = pages.repartitionById(directory.buckets, F.get(slots, slot.cast("int"))).sortWithinPartitions("key")
     groups = common.settle(owned.select("key", "sha", "doc_id", "rid", "n", "text").mapInArrow(_own, "key long, sha binary, keep_id long, keep_rid long, group_size long"), "dedup-groups")
     return common.lookup_by_group(entries, groups, ["key", "sha"], "group_size").select("doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
