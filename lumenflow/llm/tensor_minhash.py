@@ -10,9 +10,9 @@ Steps. (1) Equal shingle sets form a class and only its least id goes on, so cop
 all members are compared with its least and its greatest member: a number of candidates linear in
 the bucket. (4) Candidates whose sizes or minhashes rule out the similarity are dropped (a pair at
 the threshold is ruled out by minhashes with a probability of about 1e-6); the others are verified
-on their full sets. (5) Buckets of four and more that still hold several components are compared in
-tiles of at most ``2 * TILE`` classes, only across components and only by minhashes, and what passes
-is verified too; so no link is lost to the shortcut of step 3. (6) Components are labelled without
+on their full sets. (5) The classes of buckets of four and more that still hold several components are
+joined across components by exact prefix filtering (:func:`_across`), and what passes is verified
+too; so no link is lost to the shortcut of step 3. (6) Components are labelled without
 collecting anything.
 
 Defined cases: a text without words (null, empty, blank) has an empty set and is its own component.
@@ -39,7 +39,6 @@ SIDE, DEPTH = 8, 2
 HASHES = 2 * SIDE * DEPTH
 #: Of the minhashes of a pair at 0.8, fewer than this many agree with a probability of about 1e-6.
 AGREE = 14
-TILE = 256
 
 _U = np.uint64
 _random = np.random.default_rng(6)
@@ -113,47 +112,37 @@ def _agreeing(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select(["a", "b"]).filter(ok)
 
 
-def _tiles(percent: int):
-    """Within runs of rows of one tile: pairs across components that sizes and minhashes allow."""
-
-    def pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        ids, component, blk, n, sk = (np.array(c) for c in zip(*[(r[0], r[1], r[2], r[3], 0) for r in rows], strict=True))
-        sk = np.frombuffer(b"".join(r[4] for r in rows), "<u4").reshape(-1, HASHES)
-        mixed = blk.min() != blk.max()
-        for i in range(len(rows) - 1):
-            rest = slice(i + 1, None)
-            ok = (component[rest] != component[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))
-            if mixed:
-                ok &= blk[rest] != blk[i]
-            at = np.flatnonzero(ok) + i + 1
-            if len(at):
-                at = at[(sk[at] == sk[i]).sum(1) >= AGREE]
-                yield from ((min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))) for j in at)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows, found = None, [], set()
-
-        def out() -> pa.RecordBatch:
-            a, b = zip(*found, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("key", "lo", "hi", "id", "component", "block", "n", "sketch")]
-            for key, lo, hi, *row in zip(*columns, strict=True):
-                if (key, lo, hi) != now:
-                    if len(rows) > 1:
-                        found.update(pairs(rows))
-                    now, rows = (key, lo, hi), []
-                rows.append(tuple(row))
-            if len(found) > 20_000:
-                yield out()
-                found.clear()
-        if len(rows) > 1:
-            found.update(pairs(rows))
-        if found:
-            yield out()
-
-    return run
+def _across(rows: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) in different components, from rows (id, component, n, items): a superset of all links.
+
+    A set of n items whose link to another set of m items needs ``o = percent (n + m) / (100 +
+    percent)`` common items can take them only from items that more than one component has. If it
+    has k of those, then m is at most ``k (100 + percent) / percent - n``, which rules most sets
+    out. In one order common to all (rarest first), the first item that two linked sets share has
+    ``o - 1`` common items after it in either, so its rank in either is at most ``k - o + 1``: the
+    prefixes that this allows for the least partner are posted, and a pair must meet by an item that
+    both ranks allow for its own ``o``. A prefix item's rows of its most frequent component are not
+    joined with one another.
+    """
+    each = rows.select("id", "component", "n", F.explode("items").alias("item"))
+    met = each.groupBy("item").agg(F.count("*").alias("c"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("item", "c")
+    sets = each.join(met, "item").groupBy("id", "component", "n").agg(F.sort_array(F.collect_list(F.struct("c", "item"))).alias("xs"))
+    k = F.size("xs")
+    most = F.floor(k * (100 + percent) / F.lit(percent)) - F.col("n")
+    first = k - F.ceil(F.col("n") * percent / F.lit(100)) + 1
+    able = sets.withColumn("most", most).withColumn("first", first.cast("int")).filter((F.col("first") > 0) & (F.col("most") * 100 >= F.col("n") * percent))
+    prefix = able.select("id", "component", "n", "most", k.alias("k"), F.posexplode(F.transform(F.slice("xs", 1, F.col("first")), lambda v: v["item"])).alias("rank", "item"))
+    posted = common.settle(prefix, "near-prefixes")
+    counted = posted.groupBy("item", "component").agg(F.count("*").alias("c"))
+    mains = counted.groupBy("item").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("k")).filter("k > 1").select("item", "main")
+    own = ("id", "component", "n", "most", "k", "rank")
+    left = posted.join(mains, "item").filter("component <> main").select("item", *(F.col(c).alias(f"{c}_x") for c in own))
+    right = posted.select("item", *(F.col(c).alias(f"{c}_y") for c in own))
+    need = F.ceil((F.col("n_x") + F.col("n_y")) * percent / F.lit(100 + percent) - 1e-9)
+    fits = (F.col("component_x") != F.col("component_y")) & (F.col("n_x") <= F.col("most_y")) & (F.col("n_y") <= F.col("most_x")) & _sizes_allow("n_x", "n_y", percent)
+    fits &= (F.col("rank_x") + need <= F.col("k_x")) & (F.col("rank_y") + need <= F.col("k_y"))
+    joined = left.join(right, (left["item"] == right["item"]) & fits)
+    return joined.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -193,14 +182,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labels = common.settle(connected_components(links), "near-labels")
 
     # Buckets of up to three are complete; larger ones may hold a link across components.
-    large = members.filter("members > 3").select("key", "id", "members").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    large = members.filter("members > 3").select("key", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = large.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-    blocks = F.ceil(F.col("members") / TILE).cast("int")
-    tiled = large.join(open_, "key").join(light, "id").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiled = tiled.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "component", "block", "n", "sketch")
-    across = tiled.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_tiles(percent), "a long, b long").distinct()
-    more = common.settle(_verified(common.settle(across, "near-across"), texts, words, percent), "near-more")
+    unsure = common.settle(large.join(open_, "key").select("id", "component").distinct().join(light.select("id", "n"), "id"), "near-unsure")
+    sets = texts.join(unsure.select("id"), "id", "left_semi").mapInArrow(_sets(words), "id long, items array<long>")
+    across = common.settle(_across(unsure.join(sets, "id"), percent), "near-across")
+    more = common.settle(_verified(common.settle(allowed(across), "near-across-allowed"), texts, words, percent), "near-more")
     if not more.isEmpty():
         labels = common.settle(connected_components(links.unionByName(more)), "near-labels")
 
