@@ -180,8 +180,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with the columns they had; one row of each group of equal texts."""
-    key = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    rows = docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept_id")) & (key == F.col("_kept_sha")), "left_semi")
-    one = docs.columns
-    return rows.withColumn("_sha", key).dropDuplicates([id_col, "_sha"]).select(*one)
+    own = docs.columns
+    ids, sha = F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+    rows = exact_groups(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(_LEAST)).alias("_id"), F.col("text_sha256").alias("_sha"), "kept")
+    gone = rows.groupBy("_id", "_sha").agg(F.max("kept").alias("kept")).filter("NOT kept").select("_id", "_sha")
+    # One exchange of the texts: rows that tie in id and text meet in it too.
+    return docs.withColumns({"_id": ids, "_sha": sha}).join(gone, ["_id", "_sha"], "left_anti").dropDuplicates(["_id", "_sha"]).select(*own)
