@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 #: A lookup side whose groups hold at least this share of all rows has at most 1 / share rows.
 HOT_SHARE = 1 / 1000
 
+#: Bytes of a row group that a writer holds.
+BLOCK_BYTES = 16 << 20
+#: Ids that may be broadcast: 8 bytes each, a few times that as a hash table.
+BROADCAST_IDS = 1_000_000
 #: Rows of an Arrow batch: some megabytes of texts.
 BATCH_ROWS = 1000
 
@@ -37,7 +41,7 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
 def settle(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends there, and a lost executor costs nothing before it."""
     path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", BLOCK_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -73,3 +77,9 @@ def lookup_by_group(rows: DataFrame, groups: DataFrame, keys: list[str], size_co
     found = tried.filter(F.col("_hot")).drop("_hot")
     rest = tried.filter(F.col("_hot").isNull()).drop("_hot", *extra).join(cold, keys, "left")
     return found.unionByName(rest.select(*found.columns))
+
+
+def rows_with_ids(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The ``rows`` whose id is in ``ids`` (a settled table): ids are broadcast if they are few enough, joined by shuffle else."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, id_col, "left_semi")

@@ -33,7 +33,7 @@ MAX_DEPTH = 18
 #: Bytes of text that one bucket may hold before it splits, or a 2 ** -16 part of all where that is more.
 BUCKET_BYTES = 4 << 20
 #: Bytes of distinct texts that a map task keeps for merging before it writes them out.
-MERGE_BYTES = 24 << 20
+MERGE_BYTES = 16 << 20
 
 _ROW = "key long, sha binary, doc_id long, rid long, n long, size long, text string"
 _ROW_ARROW = pa.schema([("key", pa.int64()), ("sha", pa.binary()), ("doc_id", pa.int64()), ("rid", pa.int64()), ("n", pa.int64()), ("size", pa.int64()), ("text", pa.string())])

@@ -147,8 +147,8 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = common.settle(texts.join(wanted, "id", "left_semi").mapInArrow(_sets(words), "id long, items array<long>"), "near-sets")
+    wanted = common.settle(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-wanted")
+    sets = common.settle(common.rows_with_ids(texts, wanted, "id").mapInArrow(_sets(words), "id long, items array<long>"), "near-sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("items_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("items_b")), "b")
     shared = F.size(F.array_intersect("items_a", "items_b"))
     return both.filter(F.lit(100) * shared >= F.lit(percent) * (F.size("items_a") + F.size("items_b") - shared)).select("a", "b")
@@ -185,7 +185,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     large = members.filter("members > 3").select("key", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = large.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
     unsure = common.settle(large.join(open_, "key").select("id", "component").distinct().join(light.select("id", "n"), "id"), "near-unsure")
-    sets = texts.join(unsure.select("id"), "id", "left_semi").mapInArrow(_sets(words), "id long, items array<long>")
+    sets = common.rows_with_ids(texts, unsure.select("id"), "id").mapInArrow(_sets(words), "id long, items array<long>")
     across = common.settle(_across(unsure.join(sets, "id"), percent), "near-across")
     more = common.settle(_verified(common.settle(allowed(across), "near-across-allowed"), texts, words, percent), "near-more")
     if not more.isEmpty():
