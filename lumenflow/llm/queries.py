@@ -4,31 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenflow.llm import exact_packing, extendible_dedup, pii_boost, subword_classifier, tensor_minhash, warc_split
+from lumenflow.llm import exact_packing, extendible_dedup, license_rules, line_blocks, pii_boost, quality_llr, sp_nbest, subword_classifier, tensor_minhash, warc_split
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _vocabulary(name: str) -> str:
-    import public_tokenizers
-
-    return str(public_tokenizers.path(name))
-
-
-def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return subword_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-
-
-def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tensor_minhash.near_groups(_table(spark, sf_dir, "documents"), words=4, percent=80)
-
-
-def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii_boost.find_personal_data(_table(spark, sf_dir, "documents"))
-
-
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
@@ -42,6 +24,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_sentencepiece_nbest": op3_sentencepiece_nbest,
+    "op4_license_scan": op4_license_scan,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_personal_data": op7_personal_data,
@@ -51,6 +37,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op4_license_scan": license_rules.oracle_sql(),
     "op9_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
              d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest FROM p),
