@@ -39,7 +39,7 @@ from lumenflow.llm import common
 
 N_BEST = 4
 #: Units that a worker remembers at once.
-MEMO_UNITS = 250_000
+MEMO_UNITS = 400_000
 #: How far an unknown character is below the worst ordinary piece.
 PENALTY = 10.0
 #: Pieces at or below this score are reserved and don't set the worst.
@@ -60,6 +60,7 @@ class PieceLattice:
         self._root: dict = {}
         self._bytes = [0] * 256
         self._text: list[bytes] = []
+        self._longest = 1
         worst = 0.0
         for i in range(sp.get_piece_size()):
             piece, score = sp.id_to_piece(i), sp.get_score(i)
@@ -73,17 +74,18 @@ class PieceLattice:
             if MARK in piece.lstrip(MARK):
                 raise ValueError(f"piece {i} goes on across a word mark")
             self._text.append(piece.replace(MARK, " ").encode())
+            self._longest = max(self._longest, len(piece))
             node = self._root
             for c in piece:
                 node = node.setdefault(c, {})
-            node[""] = (i, score)
+            node[""] = (score, i.to_bytes(4, "little"))
             if score > RESERVED:
                 worst = min(worst, score)
         self._unknown = worst - PENALTY
         self._memo: dict[str, tuple[float, bytes, float]] = {}
         self._paths: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
 
-    def _forward(self, unit: str) -> tuple[list[float], list[list[tuple[int, float, tuple[int, ...]]]]]:
+    def _forward(self, unit: str) -> tuple[list[float], list[list[tuple[int, float, bytes]]]]:
         """Best score of each prefix, and the edges (start, score, ids) into each position."""
         n = len(unit)
         best = [-_NONE] * (n + 1)
@@ -91,21 +93,23 @@ class PieceLattice:
         into: list[list] = [[] for _ in range(n + 1)]
         root = self._root
         for i in range(n):
-            node, j, here, single = root, i, best[i], False
-            while j < n:
-                node = node.get(unit[j])
+            node, j, here = root, i, best[i]
+            first = root.get(unit[i])
+            if first is None or "" not in first:
+                into[i + 1].append((i, self._unknown, b"".join([self._bytes[b].to_bytes(4, "little") for b in unit[i].encode("utf-8", "surrogatepass")])))
+                if here + self._unknown > best[i + 1]:
+                    best[i + 1] = here + self._unknown
+            for c in unit[i : i + self._longest]:
+                node = node.get(c)
                 if node is None:
                     break
                 j += 1
                 piece = node.get("")
                 if piece is not None:
-                    single = single or j == i + 1
-                    into[j].append((i, piece[1], (piece[0],)))
-                    if here + piece[1] > best[j]:
-                        best[j] = here + piece[1]
-            if not single:
-                into[i + 1].append((i, self._unknown, tuple(self._bytes[b] for b in unit[i].encode("utf-8", "surrogatepass"))))
-                best[i + 1] = max(best[i + 1], here + self._unknown)
+                    score, ids = piece
+                    into[j].append((i, score, ids))
+                    if here + score > best[j]:
+                        best[j] = here + score
         return best, into
 
     def _learn(self, unit: str) -> tuple[float, bytes, float]:
@@ -113,18 +117,18 @@ class PieceLattice:
         best, into = self._forward(unit)
         j, rest, ids, second = len(unit), 0.0, [], -_NONE
         while j:
-            goal, taken = best[j], None
-            for edge in into[j]:
-                f = best[edge[0]] + edge[1]
-                if taken is None and f == goal:
-                    taken = edge
+            goal, taken = best[j], -1
+            for i, score, x in into[j]:
+                f = best[i] + score
+                if f == goal and taken < 0:
+                    taken, step = i, score
+                    ids.append(x)
                 elif f + rest > second:
                     second = f + rest
-            ids.append(taken[2])
-            rest += taken[1]
-            j = taken[0]
-        flat = [x for part in reversed(ids) for x in part]
-        return best[-1], np.array(flat, "<u4").tobytes(), best[-1] - second
+            rest += step
+            j = taken
+        ids.reverse()
+        return best[-1], b"".join(ids), best[-1] - second
 
     def unit_paths(self, unit: str, n: int) -> list[tuple[float, bytes]]:
         """The ``n`` best paths of a unit: backward A* with the forward scores as heuristic."""
@@ -137,9 +141,9 @@ class PieceLattice:
             if j == 0:
                 ids = []
                 while path is not None:
-                    ids += path[0]
+                    ids.append(path[0])
                     path = path[1]
-                out.append((g, np.array(ids, "<u4").tobytes()))
+                out.append((g, b"".join(ids)))
                 continue
             for i, score, ids in reversed(into[j]):
                 heapq.heappush(agenda, (-(g + score + best[i]), next(tie), i, g + score, (ids, path)))
