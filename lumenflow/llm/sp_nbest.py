@@ -39,7 +39,7 @@ from lumenflow.llm import common
 
 N_BEST = 4
 #: Units that a worker remembers at once.
-MEMO_UNITS = 400_000
+MEMO_UNITS = 800_000
 #: How far an unknown character is below the worst ordinary piece.
 PENALTY = 10.0
 #: Pieces at or below this score are reserved and don't set the worst.
