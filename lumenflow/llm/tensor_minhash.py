@@ -7,8 +7,8 @@ probability of at most ``2 * (1 - s ** DEPTH) ** SIDE``: 0.06 % at s = 0.8, 0.00
 
 Steps. (1) Equal shingle sets form a class and only its least id goes on, so copies make no pairs.
 (2) Each class gets a row for each table; buckets with two classes or more are kept. (3) In a bucket
-all members are compared with its least and its greatest member: a number of candidates linear in
-the bucket. (4) Candidates whose sizes or minhashes rule out the similarity are dropped (a pair at
+all members are compared with its least one, and in buckets of up to three with the greatest too: a
+number of candidates linear in the bucket. (4) Candidates whose sizes or minhashes rule out the similarity are dropped (a pair at
 the threshold is ruled out by minhashes with a probability of about 1e-6); the others are verified
 on their full sets. (5) The classes of buckets of four and more that still hold several components are
 joined across components by exact prefix filtering (:func:`_across`), and what passes is verified
@@ -177,7 +177,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pairs.join(side("a"), "a").join(side("b"), "b").filter(_sizes_allow("n_a", "n_b", percent)).select("a", "b", "sketch_a", "sketch_b").mapInArrow(_agreeing, "a long, b long")
 
     texts = docs.select(F.col("doc_id").alias("id"), "text")
-    stars = members.select(F.explode(F.array("lo", "hi")).alias("p"), "id").filter("p <> id").select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
+    centres = F.when(F.col("members") > 3, F.array("lo")).otherwise(F.array("lo", "hi"))
+    stars = members.select(F.explode(centres).alias("p"), "id").filter("p <> id").select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
     links = common.settle(_verified(common.settle(allowed(stars), "near-stars"), texts, words, percent), "near-links")
     labels = common.settle(connected_components(links), "near-labels")
 
