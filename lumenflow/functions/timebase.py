@@ -36,4 +36,4 @@ def rescale(ticks: Column, base: tuple[int, int], to: tuple[int, int], rounding:
 
 def micros(ts: str) -> Column:
     """Microseconds since 1970 of a timestamp without a zone, whatever the session's zone."""
-    return F.expr(f"cast(datediff(cast({ts} AS date), date'1970-01-01') AS bigint) * 86400000000 + hour({ts}) * 3600000000 + minute({ts}) * 60000000 + cast(extract(SECOND FROM {ts}) * 1000000 AS bigint)")
+    return F.expr(f"cast(datediff(cast({ts} AS date), date'1970-01-01') AS bigint) * 86400000000 + hour({ts}) * 3600000000 + minute({ts}) * 60000000L + cast(extract(SECOND FROM {ts}) * 1000000L AS bigint)")
