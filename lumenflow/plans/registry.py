@@ -63,38 +63,38 @@ for _r in timebase.ROUNDINGS:
 
 
 def _packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", timebase.rescale(timebase.micros("ts"), (1, 1_000_000), (1, 90_000), "down").alias("at"))
+    return _table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", timebase.rescale(timebase.micros("ts"), (1, 1_000_000), (1, 90_000), "down").alias("pos"))
 
 
-_PACKETS = "p AS (SELECT event_id, user_id, event_type, CAST(epoch_us(ts) * 9 // 100 AS BIGINT) AS at, CASE WHEN event_type = 'purchase' THEN CAST(epoch_us(ts) * 9 // 100 AS BIGINT) END AS k FROM events)"
+_PACKETS = "p AS (SELECT event_id, user_id, event_type, CAST(epoch_us(ts) * 9 // 100 AS BIGINT) AS pos, CASE WHEN event_type = 'purchase' THEN CAST(epoch_us(ts) * 9 // 100 AS BIGINT) END AS k FROM events)"
 
 
 def _sync():
     return F.col("event_type") == "purchase"
 
 
-_UPTO = "OVER (PARTITION BY user_id ORDER BY at RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-_FROM = "OVER (PARTITION BY user_id ORDER BY at RANGE BETWEEN {} AND UNBOUNDED FOLLOWING)"
+_UPTO = "OVER (PARTITION BY user_id ORDER BY pos RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+_FROM = "OVER (PARTITION BY user_id ORDER BY pos RANGE BETWEEN {} AND UNBOUNDED FOLLOWING)"
 
 
-@_query("seek_before_raw", f"WITH {_PACKETS} SELECT event_id, user_id, at, max(k) {_UPTO} AS seek FROM p")
+@_query("seek_before_raw", f"WITH {_PACKETS} SELECT event_id, user_id, pos, max(k) {_UPTO} AS seek FROM p")
 def _seek_before_raw(spark, sf_dir):
-    return timeline.seek_before(_packets(spark, sf_dir), "user_id", "at", _sync()).select("event_id", "user_id", "at", "seek")
+    return timeline.seek_before(_packets(spark, sf_dir), "user_id", "pos", _sync()).select("event_id", "user_id", "pos", "seek")
 
 
-@_query("seek_before_clamped", f"WITH {_PACKETS} SELECT event_id, at, coalesce(max(k) {_UPTO}, min(k) OVER (PARTITION BY user_id)) AS seek FROM p")
+@_query("seek_before_clamped", f"WITH {_PACKETS} SELECT event_id, pos, coalesce(max(k) {_UPTO}, min(k) OVER (PARTITION BY user_id)) AS seek FROM p")
 def _seek_before_clamped(spark, sf_dir):
-    return timeline.seek_before(_packets(spark, sf_dir), "user_id", "at", _sync(), clamp=True).select("event_id", "at", "seek")
+    return timeline.seek_before(_packets(spark, sf_dir), "user_id", "pos", _sync(), clamp=True).select("event_id", "pos", "seek")
 
 
-@_query("seek_after_indexed", f"WITH {_PACKETS} SELECT event_id, at, coalesce(min(k) {_FROM.format('CURRENT ROW')}, max(k) OVER (PARTITION BY user_id)) AS seek FROM p")
+@_query("seek_after_indexed", f"WITH {_PACKETS} SELECT event_id, pos, coalesce(min(k) {_FROM.format('CURRENT ROW')}, max(k) OVER (PARTITION BY user_id)) AS seek FROM p")
 def _seek_after_indexed(spark, sf_dir):
-    return timeline.seek_after(_packets(spark, sf_dir), "user_id", "at", _sync(), clamp=True).select("event_id", "at", "seek")
+    return timeline.seek_after(_packets(spark, sf_dir), "user_id", "pos", _sync(), clamp=True).select("event_id", "pos", "seek")
 
 
-@_query("seek_after_strict", f"WITH {_PACKETS} SELECT event_id, at, min(k) {_FROM.format('1 FOLLOWING')} AS seek FROM p")
+@_query("seek_after_strict", f"WITH {_PACKETS} SELECT event_id, pos, min(k) {_FROM.format('1 FOLLOWING')} AS seek FROM p")
 def _seek_after_strict(spark, sf_dir):
-    return timeline.seek_after(_packets(spark, sf_dir), "user_id", "at", _sync(), strict=True).select("event_id", "at", "seek")
+    return timeline.seek_after(_packets(spark, sf_dir), "user_id", "pos", _sync(), strict=True).select("event_id", "pos", "seek")
 
 
 @_query("default_stream", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY (event_type = 'purchase') DESC, event_id) AS n FROM events) WHERE n = 1")
@@ -102,9 +102,9 @@ def _default_stream(spark, sf_dir):
     return timeline.default_stream(_table(spark, sf_dir, "events"), ["user_id"], _sync(), "event_id").select("user_id", "event_id", "event_type")
 
 
-@_query("packet_durations", f"WITH {_PACKETS}, d AS (SELECT event_id, at, lead(at) OVER w - at AS a, at - lag(at) OVER w AS b FROM p WINDOW w AS (PARTITION BY user_id ORDER BY at)) SELECT event_id, greatest(coalesce(a, b, 0), 0) AS duration FROM d")
+@_query("packet_durations", f"WITH {_PACKETS}, d AS (SELECT event_id, pos, lead(pos) OVER w - pos AS a, pos - lag(pos) OVER w AS b FROM p WINDOW w AS (PARTITION BY user_id ORDER BY pos)) SELECT event_id, greatest(coalesce(a, b, 0), 0) AS duration FROM d")
 def _packet_durations(spark, sf_dir):
-    return timeline.durations(_packets(spark, sf_dir), "user_id", "at").select("event_id", "duration")
+    return timeline.durations(_packets(spark, sf_dir), "user_id", "pos").select("event_id", "duration")
 
 
 # Sample tables --------------------------------------------------------------------------------
@@ -147,10 +147,10 @@ def _frame_rate(spark, sf_dir):
     return s.select("l_orderkey", num.alias("num"), den.alias("den"))
 
 
-@_query("track_span", f"WITH {_PACKETS} SELECT user_id, max(at) - min(at) AS span, count(*) AS packets, count(k) AS syncs FROM p GROUP BY user_id")
+@_query("track_span", f"WITH {_PACKETS} SELECT user_id, max(pos) - min(pos) AS span, count(*) AS packets, count(k) AS syncs FROM p GROUP BY user_id")
 def _track_span(spark, sf_dir):
     p = _packets(spark, sf_dir)
-    return p.groupBy("user_id").agg((F.max("at") - F.min("at")).alias("span"), F.count("*").alias("packets"), F.count_if(_sync()).alias("syncs"))
+    return p.groupBy("user_id").agg((F.max("pos") - F.min("pos")).alias("span"), F.count("*").alias("packets"), F.count_if(_sync()).alias("syncs"))
 
 
 # Pictures, colour, packets --------------------------------------------------------------------
