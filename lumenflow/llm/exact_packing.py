@@ -123,7 +123,16 @@ def _cut(path: str, capacity: int):
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths side by side, times) that use each length as often as ``counts`` says."""
+    """Patterns (lengths side by side, times) that use each length as often as ``counts`` says.
+
+    Exact combinations may take small pieces that a tight best fit needs, so plans with triples,
+    with pairs, with single complements and with none before the best fit compete.
+    """
+    return min((_plan(counts, capacity, most) for most in (3, 2, 1, 0)), key=lambda p: sum(k for _, k in p))
+
+
+def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """A plan whose exact combinations fill a gap with at most ``most`` pieces."""
     left = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
         left[length] = n
@@ -146,11 +155,11 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
     # as the sorted lengths still available: a gap's pairs are read off it from both ends.
     for first in range(capacity - 1, 0, -1):
         gap = capacity - first
-        if left[first] and left[gap]:
+        if most and left[first] and left[gap]:
             take(first, gap)
-        if left[first]:
+        if most > 1 and left[first]:
             _pairs(first, (), gap, left, take)
-        if left[first]:
+        if most > 2 and left[first]:
             have = np.flatnonzero(left[: min(gap, first) + 1])
             for a in have[::-1]:
                 if not left[first]:
