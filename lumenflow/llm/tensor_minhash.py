@@ -10,7 +10,8 @@ Steps. (1) Equal shingle sets form a class and only its least id goes on, so cop
 all members are compared with its least one, and in buckets of up to three with the greatest too: a
 number of candidates linear in the bucket. (4) Candidates whose sizes or minhashes rule out the similarity are dropped (a pair at
 the threshold is ruled out by minhashes with a probability of about 1e-6); the others are verified
-on their full sets. (5) The classes of buckets of four and more that still hold several components are
+on their full sets. What is left is compared with a few better centres.
+(5) The classes of buckets of four and more that still hold several components are
 joined across components by exact prefix filtering (:func:`_across`), and what passes is verified
 too; so no link is lost to the shortcut of step 3. (6) Components are labelled without
 collecting anything.
@@ -39,6 +40,8 @@ SIDE, DEPTH = 8, 2
 HASHES = 2 * SIDE * DEPTH
 #: Of the minhashes of a pair at 0.8, fewer than this many agree with a probability of about 1e-6.
 AGREE = 14
+#: Members of a component that what is left in open buckets is compared with before it is joined exactly.
+CENTRES = 16
 
 _U = np.uint64
 _random = np.random.default_rng(6)
@@ -112,8 +115,16 @@ def _agreeing(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select(["a", "b"]).filter(ok)
 
 
-def _across(rows: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) in different components, from rows (id, component, n, items): a superset of all links.
+def _common_items(rows: DataFrame) -> DataFrame:
+    """From rows (id, component, n, items): the items xs of each set that more than one component has, rarest first, and their number k."""
+    each = rows.select("id", "component", "n", F.explode("items").alias("item"))
+    met = each.groupBy("item").agg(F.count("*").alias("c"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("item", "c")
+    sets = each.join(met, "item").groupBy("id", "component", "n").agg(F.sort_array(F.collect_list(F.struct("c", "item"))).alias("xs"))
+    return common.settle(sets.select("id", "component", "n", F.size("xs").alias("k"), "xs"), "near-common")
+
+
+def _across(sets: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) in different components, from :func:`_common_items`: a superset of all links.
 
     A set of n items whose link to another set of m items needs ``o = percent (n + m) / (100 +
     percent)`` common items can take them only from items that more than one component has. If it
@@ -124,14 +135,11 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
     both ranks allow for its own ``o``. A prefix item's rows of its most frequent component are not
     joined with one another.
     """
-    each = rows.select("id", "component", "n", F.explode("items").alias("item"))
-    met = each.groupBy("item").agg(F.count("*").alias("c"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("item", "c")
-    sets = each.join(met, "item").groupBy("id", "component", "n").agg(F.sort_array(F.collect_list(F.struct("c", "item"))).alias("xs"))
-    k = F.size("xs")
+    k = F.col("k")
     most = F.floor(k * (100 + percent) / F.lit(percent)) - F.col("n")
     first = k - F.ceil(F.col("n") * percent / F.lit(100)) + 1
     able = sets.withColumn("most", most).withColumn("first", first.cast("int")).filter((F.col("first") > 0) & (F.col("most") * 100 >= F.col("n") * percent))
-    prefix = able.select("id", "component", "n", "most", k.alias("k"), F.posexplode(F.transform(F.slice("xs", 1, F.col("first")), lambda v: v["item"])).alias("rank", "item"))
+    prefix = able.select("id", "component", "n", "most", "k", F.posexplode(F.transform(F.slice("xs", 1, F.col("first")), lambda v: v["item"])).alias("rank", "item"))
     posted = common.settle(prefix, "near-prefixes")
     counted = posted.groupBy("item", "component").agg(F.count("*").alias("c"))
     mains = counted.groupBy("item").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("k")).filter("k > 1").select("item", "main")
@@ -183,11 +191,33 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labels = common.settle(connected_components(links), "near-labels")
 
     # Buckets of up to three are complete; larger ones may hold a link across components.
-    large = members.filter("members > 3").select("key", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = large.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-    unsure = common.settle(large.join(open_, "key").select("id", "component").distinct().join(light.select("id", "n"), "id"), "near-unsure")
-    sets = common.rows_with_ids(texts, unsure.select("id"), "id").mapInArrow(_sets(words), "id long, items array<long>")
-    across = common.settle(_across(unsure.join(sets, "id"), percent), "near-across")
+    large = members.filter("members > 3").select("key", "id")
+
+    def open_members() -> tuple[DataFrame, DataFrame]:
+        """The larger buckets' rows with their components, and the buckets that hold several."""
+        told = large.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        return told, told.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key", "x")
+
+    def unsure() -> tuple[DataFrame, DataFrame]:
+        """The classes of open buckets, each with the least component it meets, and what their sets have in common."""
+        told, open_ = open_members()
+        met = common.settle(told.join(open_, "key").groupBy("id", "component").agg(F.min("x").alias("x")).join(light.select("id", "n"), "id"), "near-unsure")
+        sets = common.rows_with_ids(texts, met.select("id"), "id").mapInArrow(_sets(words), "id long, items array<long>")
+        return met, _common_items(met.select("id", "component", "n").join(sets, "id"))
+
+    # A bucket's centre may be a poor one, such as a copy with many changes. What a component has to
+    # itself are its members' changes, so those with the least of that are nearest to the rest.
+    met, sets = unsure()
+    part = F.pmod(F.xxhash64("id"), F.lit(CENTRES))
+    centres = sets.groupBy(F.col("component").alias("x"), part.alias("part")).agg(F.max_by("id", F.struct(F.col("k") / F.col("n"), "id")).alias("centre")).select("x", "centre")
+    again = met.filter("component <> x").join(centres, "x").select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
+    new = common.settle(_verified(common.settle(allowed(again), "near-again"), texts, words, percent), "near-new")
+    if not new.isEmpty():
+        links = links.unionByName(new)
+        labels = common.settle(connected_components(links), "near-labels")
+        met, sets = unsure()
+
+    across = common.settle(_across(sets, percent), "near-across")
     more = common.settle(_verified(common.settle(allowed(across), "near-across-allowed"), texts, words, percent), "near-more")
     if not more.isEmpty():
         labels = common.settle(connected_components(links.unionByName(more)), "near-labels")
