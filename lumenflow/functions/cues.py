@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CLOCK = r"^(-?)(?:(?:(\d+):)?(\d+):)?(\d+)(?:[.,](\d{1,6}))?$"
+#: Parts of up to nine digits, so that their sum in microseconds fits 64 bits.
+CLOCK = r"^(-?)(?:(?:(\d{1,9}):)?(\d{1,9}):)?(\d{1,9})(?:[.,](\d{1,6}))?$"
 
 
 def clock_us(text: Column) -> Column:

@@ -71,3 +71,37 @@ def mdct_rows(n: int) -> list[list[float]]:
 def imdct_rows(n: int) -> list[list[float]]:
     """n coefficients to 2n samples, scaled by 2 / n: overlap-add of windowed halves gives the signal back."""
     return [[2 / n * r[i] for r in mdct_rows(n)] for i in range(2 * n)]
+
+
+def dct3_rows(n: int) -> list[list[float]]:
+    """Half the first value plus cosines: after :func:`dct2_rows` it gives n / 2 times the signal."""
+    return [[0.5 if k == 0 else math.cos(math.pi / n * k * (i + 0.5)) for k in range(n)] for i in range(n)]
+
+
+def dct4_rows(n: int) -> list[list[float]]:
+    return [[math.cos(math.pi / n * (i + 0.5) * (k + 0.5)) for i in range(n)] for k in range(n)]
+
+
+def kbd_window(n: int, alpha: float) -> list[float]:
+    """Kaiser-Bessel derived window of ``n`` values (a multiple of 4)."""
+    if n % 4:
+        raise ValueError("the length is a multiple of 4")
+    import numpy as np
+
+    half = np.cumsum(np.kaiser(n // 2 + 1, math.pi * alpha))
+    rising = np.sqrt(half[:-1] / half[-1])
+    return [*rising.tolist(), *rising[::-1].tolist()]
+
+
+#: Factors (of 256) of blue and red difference in luma, blue difference, red difference.
+REMAP = {("bt601", "bt709"): ((-30, -53), (261, 29), (19, 262)), ("bt709", "bt601"): ((25, 49), (253, -28), (-19, 252))}
+
+
+def remap(y: Column, u: Column, v: Column, source: str, target: str) -> tuple[Column, Column, Column]:
+    """Codes of 8 bits from one matrix to the other; any other pair of matrices leaves them alone."""
+    if (source, target) not in REMAP:
+        return y, u, v
+    part = lambda f: F.shiftright((f[0] * (u - 128) + f[1] * (v - 128) + 128).cast("int"), 8)
+    code = lambda x: F.least(F.greatest(x, F.lit(0)), F.lit(255))
+    luma, blue, red = REMAP[source, target]
+    return code(y + part(luma)), code(128 + part(blue)), code(128 + part(red))

@@ -68,3 +68,16 @@ def reduced_ratio(num: Column, den: Column) -> tuple[Column, Column]:
     steps = F.aggregate(F.sequence(F.lit(1), F.lit(92)), pair(num, den), step)  # 92 steps do for any 64-bit numbers
     g = F.nullif(steps["a"], F.lit(0))
     return (num / g).cast("bigint"), F.when(den != 0, (den / g).cast("bigint"))
+
+
+def visible(points: DataFrame, cues: DataFrame, stream: str, at: str, start: str, end: str, width: int) -> DataFrame:
+    """Points joined with the cues of their stream that are up: ``start <= at < end``.
+
+    Cues are laid out over buckets of ``width``, so the join is an equality of stream and bucket, not a
+    product of a stream's points and cues. A cue yields a row for each bucket it touches: ``width``
+    should be about a usual cue's length. Points without a cue give no row; cues without a length
+    match nothing.
+    """
+    bucket = lambda c: F.floor(c / F.lit(width)).cast("bigint")
+    laid = cues.filter(F.col(end) > F.col(start)).withColumn("_bucket", F.explode(F.sequence(bucket(F.col(start)), bucket(F.col(end) - 1))))
+    return points.withColumn("_bucket", bucket(F.col(at))).join(laid, [stream, "_bucket"]).filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_bucket")
