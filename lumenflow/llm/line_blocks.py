@@ -1,12 +1,16 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one for each block of the page. Blocks that say themselves what they
-are (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles) become
-blank lines, and so does a run of short blocks that are links only. Text lengths are summed over a
-sliding window of ``WINDOW`` lines. A *surge* is where the sum rises from nothing; the *dive* is
-where it falls to nothing again. The text between them is a passage. Where the page marks its
-article, the passages in it are the main text; elsewhere the passages with at least ``PASSAGE``
-characters are, or the longest one if none has.
+Markup is stripped into lines, one for each block of the page. Text lengths are summed over a sliding
+window of ``WINDOW`` lines. A *surge* is where the sum reaches ``SURGE`` characters; around it a
+passage reaches as far as the sums stay at ``DIVE`` or more, and the *dive* is where they fall below.
+The passages are the main text, on every page.
+
+What a page says of itself is evidence that weighs its lines. A line in an article counts
+``ARTICLE`` times and never dives. Lines of menus, headers, footers, sidebars, notices, adverts,
+forms and comments are summed on their own, by what is not in links, and need ``MARK`` times the
+density. A line of links only counts as blank outside an article and once in it. Scripts, styles and
+what is not displayed are no lines. If nothing surges, the text of articles is kept, or else the
+densest stretch of unmarked lines.
 
 Defined cases: a null, empty or text-free page gives an empty text. Unclosed and stray tags are
 tolerated. Rows that repeat a ``page_id``, or have none, are read each. An empty table gives an
@@ -26,15 +30,19 @@ from pyspark.sql import functions as F
 from lumenflow.llm import common
 
 WINDOW = 3
-PASSAGE = 86
+SURGE = 86
+DIVE = 30
+ARTICLE = 16
+MARK = 8
 
 #: What HTML elements mean here.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
-NOT_TEXT = frozenset("aside button datalist dialog footer form head header input label menu nav noscript option select template textarea title".split())
+NOT_TEXT = frozenset("aside dialog footer form header label menu nav".split())
+UNSEEN = frozenset("button datalist head input noscript option select template textarea title".split())
 RAW = frozenset("script style iframe noembed noframes svg math object canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MARKED = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|consent|cookie|cookies|copyright|disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|outbrain|pager|pagination|popup|promo|promoted|related|replies|respond|share|sharing|sidebar|sidebars|signup|skip|social|sponsor|sponsored|subscribe|taboola|teaser|toolbar|widget|widgets)(?:$|[\s_-])")
-ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main|content)(?:[\s_-]?(?:body|content|text))?(?:$|[\s_-])")
+ARTICLE_NAME = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main|content)(?:[\s_-]?(?:body|content|text))?(?:$|[\s_-])")
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: End tags of these are optional: a new one of the group closes the last.
 _PEERS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -44,36 +52,45 @@ _CUT_TAG = re.compile(r"<(/?)([A-Za-z]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 
 
-def _marks(name: str, rest: str) -> tuple[bool, bool]:
-    """Whether an element says that it is no text, and that it holds the article."""
+def _marks(name: str, rest: str) -> tuple[bool, bool, bool]:
+    """Whether an element is not displayed as text, says that it is no text, and holds the article."""
+    if name in ("html", "body"):
+        return False, False, False
     attributes = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(rest)} if "=" in rest else {}
     named = f"{attributes.get('class', '')} {attributes.get('id', '')}"
     role = attributes.get("role", "")
     article = name in ("article", "main") or role in ("main", "article") or attributes.get("itemprop") == "articlebody"
-    if name in ("html", "body"):
-        return False, False
-    hidden = "hidden" in rest.lower().split() or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "")
-    no_text = name in NOT_TEXT or role in ROLES or hidden or (not article and bool(MARKED.search(named)))
-    article = article or (name in ("div", "section", "td") and bool(ARTICLE.search(named)))
-    return no_text, article
+    unseen = name in UNSEEN or "hidden" in rest.lower().split() or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "")
+    no_text = name in NOT_TEXT or role in ROLES or (not article and bool(MARKED.search(named)))
+    article = article or (name in ("div", "section", "td") and bool(ARTICLE_NAME.search(named)))
+    return unseen, no_text, article
 
 
-def lines_of(page: str) -> list[tuple[str, bool, bool]]:
-    """The blocks of a page in order: text (blank for what is no text), whether in the article, whether links only."""
-    out: list[tuple[str, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, no text, article
+def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
+    """The blocks of a page in order: text (blank at the edges of articles and marked elements), whether in the article, whether in an element marked as no text, characters outside links."""
+    out: list[tuple[str, bool, bool, int]] = []
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, unseen, no text, article
     words: list[str] = []
-    linked = plain = 0
-    mute = deep = links = 0
+    plain = 0
+    unseen = mute = deep = links = 0
     at, n = 0, len(page)
 
     def close_block() -> None:
-        nonlocal linked, plain
+        nonlocal plain
         text = " ".join("".join(words).split())
         if text:
-            out.append((text, deep > 0, plain == 0 and linked > 0))
+            out.append((text, deep > 0, mute > 0, plain))
         words.clear()
-        linked = plain = 0
+        plain = 0
+
+    def leave(k: int) -> None:
+        nonlocal unseen, mute, deep, links
+        for name, hidden, no_text, article in stack[k:]:
+            unseen -= hidden
+            mute -= no_text
+            deep -= article
+            links -= name == "a"
+        del stack[k:]
 
     while at < n:
         m = _TOKEN.match(page, at)
@@ -86,12 +103,10 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
         if not name:
             token = m.group()
             if token[0] != "<" or token == "<":
-                if not mute:
+                if not unseen:
                     text = entities.unescape(token)
                     words.append(text)
-                    size = len(text.strip())
-                    linked += size * (links > 0)
-                    plain += size * (links == 0)
+                    plain += len(text.strip()) * (links == 0)
             continue
         name, rest = name.lower(), m.group(3)
         if not m.group(1):
@@ -113,37 +128,31 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
             if peers:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] in peers:
-                        for _, no_text, article in stack[k:]:
-                            mute -= no_text
-                            deep -= article
-                        links -= sum(x[0] == "a" for x in stack[k:])
-                        del stack[k:]
+                        leave(k)
                         break
                     if stack[k][0] in BLOCK and stack[k][0] not in ("p",):
                         break
-            no_text, article = _marks(name, rest)
+            hidden, no_text, article = _marks(name, rest)
             if no_text and not mute:
                 close_block()
-                out.append(("", deep > 0, False))
+                out.append(("", deep > 0, False, 0))
             if article and not deep:
                 close_block()
-                out.append(("", False, False))
-            stack.append((name, no_text, article))
+                out.append(("", False, False, 0))
+            stack.append((name, hidden, no_text, article))
+            unseen += hidden
             mute += no_text
             deep += article
             links += name == "a"
         else:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    if name in BLOCK or any(x[1] or x[2] for x in stack[k:]):
+                    if name in BLOCK or any(x[2] or x[3] for x in stack[k:]):
                         close_block()
-                    for _, no_text, article in stack[k:]:
-                        mute -= no_text
-                        deep -= article
-                    if any(x[2] for x in stack[k:]) and not deep:
-                        out.append(("", False, False))
-                    links -= sum(x[0] == "a" for x in stack[k:])
-                    del stack[k:]
+                    was = deep
+                    leave(k)
+                    if was and not deep:
+                        out.append(("", False, False, 0))
                     break
                 if stack[k][0] in ("article", "main", "body", "td", "table") and name not in BLOCK:
                     break
@@ -154,38 +163,49 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
     return out
 
 
-def passages(lengths: list[int]) -> list[tuple[int, int]]:
-    """Ranges of lines from a surge to its dive, by sums over windows of WINDOW lines."""
-    n = len(lengths)
-    sums = [0] * (n + 1)
-    total = 0
-    for i in range(n - 1, -1, -1):
-        total += lengths[i] - (lengths[i + WINDOW] if i + WINDOW < n else 0)
-        sums[i] = total
-    out, start = [], -1
-    for i in range(n + 1):
-        if sums[i] > 0 and start < 0 and (i == n or lengths[i] > 0):
-            start = i
-        elif start >= 0 and sums[i] == 0:
-            out.append((start, i))
-            start = -1
-    return out
+def passages(lengths: list[int], surge: int = SURGE, dive: int = DIVE) -> list[tuple[int, int]]:
+    """Ranges of lines in which windows of WINDOW lines hold at least ``dive`` and one of them ``surge``."""
+    out, start, end, top = [], 0, 0, 0
+    total = sum(lengths[: WINDOW - 1])
+    for i in range(len(lengths)):  # windows that begin at i; blank lines after the last are implied
+        total += lengths[i + WINDOW - 1] if i + WINDOW <= len(lengths) else 0
+        if total >= dive:
+            if i >= end:
+                if top >= surge:
+                    out.append((start, end))
+                start, top = i, 0
+            end, top = min(i + WINDOW, len(lengths)), max(top, total)
+        total -= lengths[i]
+    return [*out, (start, end)] if top >= surge else out
 
 
 def main_text(page: str | None) -> str:
     """The main text of a page, its blocks joined by a line feed."""
-    lines: list[tuple[str, bool, bool]] = []
-    for text, article, links in lines_of(page or ""):
-        if not text or (links and not article):  # WINDOW blank lines, so that no window sees both sides
-            lines += [("", article, False)] * WINDOW
+    lines = lines_of(page or "")
+    gap = [(-1, 0)] * (2 * WINDOW)  # blank lines, so that no windows of both sides touch
+    free: list[tuple[int, int]] = []  # number of a line, its weight
+    marked: list[tuple[int, int]] = []
+    for i, (text, article, mark, plain) in enumerate(lines):
+        if mark:
+            marked.append((i, plain))
+            continue
+        if marked and marked[-1][0] >= 0:
+            marked += gap
+        if not text or (not plain and not article):
+            free += [] if article else gap
+        elif article:
+            free.append((i, max(len(text) * (ARTICLE if plain else 1), DIVE)))
         else:
-            lines.append((text, article, links))
-    marked = any(a and t for t, a, _ in lines)
-    kept = passages([len(t) if a or not marked else 0 for t, a, _ in lines])
-    if not marked and kept:
-        size = lambda r: sum(len(t) for t, _, _ in lines[r[0] : r[1]])
-        kept = [r for r in kept if size(r) >= PASSAGE] or [max(kept, key=size)]
-    return "\n".join(t for s, e in kept for t, a, _ in lines[s:e] if t and (a or not marked))
+            free.append((i, len(text)))
+    weights = [w for _, w in free]
+    kept = [i for s, e in passages(weights) for i, _ in free[s:e]]
+    kept += [i for s, e in passages([w for _, w in marked], SURGE * MARK, DIVE * MARK) for i, _ in marked[s:e]]
+    if not kept:
+        kept = [i for i, _ in free if i >= 0 and lines[i][1]]
+    if not kept:
+        runs = passages(weights, 1, 1)
+        kept = [i for i, _ in free[slice(*max(runs, key=lambda r: sum(weights[r[0] : r[1]])))]] if runs else []
+    return "\n".join(lines[i][0] for i in sorted(set(kept)) if i >= 0)
 
 
 _OUT = "page_id long, url string, text string, n_chars long"

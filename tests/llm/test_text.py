@@ -18,6 +18,20 @@ def test_main_text():
     assert [line_blocks.main_text(x) for x in (None, "", "<p>", "<script>x")] == ["", "", "", ""]
 
 
+def test_main_text_by_density():
+    body = [f"Sentence number {i} of the story, in a plain division that is as long as paragraphs are." for i in range(4)]
+    plain = "".join(f"<div>{x}</div>" for x in body)
+    menu = "<div>Home</div><div>News</div><div>Shop</div><div>Help</div><div>About</div>"
+    assert line_blocks.main_text(f"<article class=card><a href=x>Teaser</a></article>{plain}") == "\n".join(body)
+    assert line_blocks.main_text(f"{plain}{menu}") == "\n".join([*body, "Home", "News"])  # the dive is two lines behind the last dense one
+    dense = [x * 3 for x in body]
+    form = "".join(f"<p>{x}</p>" for x in dense)
+    assert line_blocks.main_text(f"<form>{form}</form>") == "\n".join(dense)
+    assert line_blocks.main_text(f"<article><p>{body[0]}</p><div class=ad>Buy it</div><p>The end.</p></article><div class=comments>{plain}</div>") == f"{body[0]}\nThe end."
+    assert line_blocks.main_text("<nav>" + "".join(f"<li><a href=x>{x * 9}</a>" for x in body) + "</nav><p>a</p>") == "a"
+    assert line_blocks.passages([40, 0, 50, 0, 0, 29, 0, 0, 85, 0, 0, 0, 0, 86]) == [(0, 5), (11, 14)]
+
+
 def test_extract_cases(spark):
     rows = [(1, "u", "<p>a"), (1, "u", "<p>a"), (None, None, None)]
     got = line_blocks.extract(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS text")).collect()
