@@ -1,7 +1,9 @@
 """License scans by sentence rules, with DataFrame functions only.
 
-A text is cut into sentences, which are normalised (lower case, each run of anything but letters,
-digits and dots becomes one space). A table of known licence sentences maps them to identifiers by
+A text is cut into sentences at stops and blank lines; the wrapped lines of a paragraph are joined, and
+a line feed or semicolon ends a sentence only where a known one begins behind it or a short known one is
+complete, and a long known one begins a sentence wherever it stands. Sentences are normalised (lower case, each run of anything but letters, digits and dots becomes
+one space). A table of known licence sentences maps them to identifiers by
 equality or by start; a text's identifiers in order are its sequence. Ordered licence rules are then
 matched against the sequence: a rule names a run of identifiers that must follow one another; the
 first rule that matches takes them, and later rules see only what is left. Sentences that look like
@@ -17,9 +19,12 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_GPL = "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"
 #: Known licence sentences, normalised: (identifier, kind of match, sentence).
 SENTENCES = (
     ("mit_grant", "is", "released under the mit license"),
@@ -27,20 +32,31 @@ SENTENCES = (
     ("mit_grant", "starts", "permission is hereby granted free of charge to any person obtaining a copy"),
     ("mit_notice", "starts", "the above copyright notice and this permission notice shall be included"),
     ("as_is", "starts", "the software is provided as is without warranty of any kind"),
+    ("mit_liability", "starts", "in no event shall the authors or copyright holders be liable"),
     ("apache2_grant", "is", "licensed under the apache license version 2.0"),
     ("apache2_grant", "starts", "licensed under the apache license version 2.0 the license"),
+    ("apache2_grant", "starts", "the asf licenses this file to you under the apache license version 2.0"),
     ("apache2_use", "starts", "you may not use this file except in compliance with the license"),
     ("apache2_copy", "starts", "you may obtain a copy of the license at"),
     ("apache2_warranty", "starts", "unless required by applicable law or agreed to in writing software distributed under the license"),
+    ("apache2_see", "starts", "see the license for the specific language governing permissions"),
     ("gpl3_grant", "is", "this work is licensed under the gnu general public license version 3"),
     ("gpl2_grant", "is", "this work is licensed under the gnu general public license version 2"),
-    ("gpl_free", "starts", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    *((f"gpl{v}_free", "starts", f"{_GPL} as published by the free software foundation either version {v} of the license or at your option any later version") for v in (2, 3)),
+    *((f"gpl{v}_only", "starts", f"{_GPL} {x}") for v in (2, 3) for x in (f"as published by the free software foundation version {v} of the license", f"version {v} as published by the free software foundation")),
+    ("gpl_free", "starts", _GPL),
     ("gpl_warranty", "starts", "this program is distributed in the hope that it will be useful"),
+    ("gpl_see", "starts", "see the gnu general public license for more details"),
     ("gpl_copy", "starts", "you should have received a copy of the gnu general public license"),
+    ("gpl_write", "starts", "if not write to the free software foundation"),
+    ("gpl_write", "starts", "if not see http www.gnu.org licenses"),
+    ("gpl_write", "starts", "if not see https www.gnu.org licenses"),
     ("bsd_grant", "starts", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("bsd_source", "starts", "redistributions of source code must retain the above copyright notice"),
     ("bsd_binary", "starts", "redistributions in binary form must reproduce the above copyright notice"),
     ("bsd_names", "starts", "neither the name of"),
+    ("bsd_as_is", "starts", "this software is provided by"),
+    *(("bsd_liability", "starts", f"in no event shall the copyright {x} or contributors be liable") for x in ("holder", "holders", "owner", "owners")),
     ("cc_by_nc_4", "is", "licensed under cc by nc 4.0"),
     ("cc_by_sa_4", "is", "licensed under cc by sa 4.0"),
     ("cc_by_4", "is", "licensed under cc by 4.0"),
@@ -49,11 +65,12 @@ SENTENCES = (
 )
 #: Ordered rules: (licence, identifiers in a row). Earlier rules take their sentences first.
 RULES = (
+    ("MIT", "mit_grant,mit_notice,as_is,mit_liability"),
     ("MIT", "mit_grant,mit_notice,as_is"),
+    ("Apache-2.0", "apache2_grant,apache2_use,apache2_copy,apache2_warranty,apache2_see"),
     ("Apache-2.0", "apache2_grant,apache2_use,apache2_copy,apache2_warranty"),
-    ("BSD-3-Clause", "bsd_grant,bsd_source,bsd_binary,bsd_names"),
-    ("BSD-2-Clause", "bsd_grant,bsd_source,bsd_binary"),
-    ("GPL-2.0-or-later", "gpl_free,gpl_warranty,gpl_copy"),
+    *((name, f"{head}bsd_grant,bsd_source,bsd_binary{names}{tail}") for name, names in (("BSD-3-Clause", ",bsd_names"), ("BSD-2-Clause", "")) for tail in (",bsd_as_is,bsd_liability", ",bsd_as_is", "") for head in ("reserved,", "")),
+    *((name, f"{free},gpl_warranty{tail}") for name, free in (("GPL-2.0-or-later", "gpl2_free"), ("GPL-3.0-or-later", "gpl3_free"), ("GPL-2.0", "gpl2_only"), ("GPL-3.0", "gpl3_only"), ("GPL-1.0-or-later", "gpl_free")) for tail in (",gpl_see,gpl_copy,gpl_write", ",gpl_see,gpl_copy", ",gpl_copy,gpl_write", ",gpl_copy")),
     ("GPL-3.0", "gpl3_grant"),
     ("GPL-2.0", "gpl2_grant"),
     ("Apache-2.0", "apache2_grant"),
@@ -66,8 +83,22 @@ RULES = (
 )
 #: A sentence with one of these, known or not, is licence talk; texts without any are not cut up.
 TALK = r"(?i)licen[sc]|copyright|rights reserved|warrant|redistribut|permission is|permission notice|free software|general public|hope that it|neither the name"
-#: Sentences end at a line feed, or at a stop before white space or the end.
-END = r"\n+|[.;!?]+(?=[ \t\r\n]|$)[ \t\r]*"
+_GAP = r"[^\p{L}\p{N}.]"
+_NO_WORD = r"[^\p{L}\p{N}]"
+_ANY = "|".join(f"{_GAP}{{1,20}}".join(map(re.escape, t.split())) for _, _, t in SENTENCES)
+_SHORT = "|".join(f"{_GAP}{{1,4}}".join(map(re.escape, t.split())) for _, kind, t in SENTENCES if kind == "is")
+_LONG = "|".join(f"{_GAP}{{1,20}}".join(map(re.escape, t.split())) for _, kind, t in SENTENCES if kind == "starts" and len(t.split()) > 5)
+_BULLET = rf"(?:\(?[0-9a-z]{{1,3}}[.)]{_NO_WORD}{{1,20}})?"
+#: Sentences end before a known one on a new line or behind a colon or semicolon, before a known one of six
+#: words and more anywhere; behind a short known one at a line feed or semicolon; at blank lines (not before
+#: an address); at a stop before white space or the end.
+END = (
+    rf"(?i)(?:\n|[;:][ \t\r\n]){_NO_WORD}{{0,20}}{_BULLET}(?={_ANY})"
+    rf"|[ \t]{_NO_WORD}{{0,20}}(?={_LONG})"
+    rf"|[;\n](?<=(?:{_SHORT}){_GAP}{{0,4}}[;\n])(?!{_NO_WORD}{{0,20}}the{_GAP}{{1,4}}licen)"
+    rf"|\n(?:[^\p{{L}}\p{{N}}\n]*+\n)++(?![^\p{{L}}\p{{N}}\n]*+https?:)"
+    rf"|[.!?]+(?=[ \t\r\n]|$)[ \t\r]*(?:{_BULLET}(?={_ANY}))?"
+)
 
 
 def _known(sentence: Column) -> Column:
@@ -91,11 +122,12 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     found = F.when(text.rlike(TALK), F.array_join(sequence(text), ",")).otherwise("")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), found.alias("sequence"))
-    left = F.when(F.col("sequence") == "", "").otherwise(F.concat(F.lit(","), F.regexp_replace("sequence", ",", ",,"), F.lit(",")))
-    rows = rows.withColumn("left", left).withColumn("names", F.lit("").cast("string"))
-    for name, ids in RULES:
-        run = "," + ids.replace(",", ",,") + ","
-        rows = rows.select("doc_id", "sequence", F.replace("left", F.lit(run), F.lit("")).alias("left"), F.when(F.col("left").contains(run), F.concat("names", F.lit(f"{name},"))).otherwise(F.col("names")).alias("names"))
+    left = F.concat(F.lit(","), F.regexp_replace("sequence", ",", ",,"), F.lit(","))
+    rules = F.array(*(F.struct(F.lit("," + ids.replace(",", ",,") + ",").alias("run"), F.lit(f"{name},").alias("name")) for name, ids in RULES))
+    take = lambda a, r: F.struct(F.replace(a.left, r.run, F.lit("")).alias("left"), F.when(F.contains(a.left, r.run), F.concat(a.names, r["name"])).otherwise(a.names).alias("names"))
+    none = F.struct(F.lit("").alias("left"), F.lit("").alias("names"))
+    rows = rows.withColumn("end", F.when(F.col("sequence") == "", none).otherwise(F.aggregate(rules, F.struct(left.alias("left"), F.lit("").alias("names")), take)))
+    rows = rows.select("doc_id", "sequence", "end.left", "end.names")
     count = lambda c: F.when(F.col(c) == "", 0).otherwise(F.length(c) - F.length(F.replace(c, F.lit(","), F.lit("")))).cast("long")
     names = F.array_sort(F.array_distinct(F.filter(F.split("names", ","), lambda x: x != "")))
     n = F.size(names)

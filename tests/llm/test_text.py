@@ -1,4 +1,5 @@
 import re
+import textwrap
 from collections import Counter
 
 import helpers
@@ -70,6 +71,68 @@ def test_license_scan(spark):
     assert got == {1: ("Apache-2.0", "Apache-2.0", 1, 0), 2: ("MIT,Proprietary", "multiple", 2, 0), 3: ("MIT", "MIT", 3, 0), 4: ("", "unknown", 1, 1), None: ("", "none", 0, 0)}
 
 
+NOTICES = {
+    "MIT": """MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "Apache-2.0": """Copyright 2020 Some Body
+
+Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "GPL-2.0-or-later": """Copyright (C) 2020 Some Body
+
+This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.""",
+    "GPL-3.0-or-later": """Copyright (C) 2020 Some Body
+
+This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+    "BSD-3-Clause": """Copyright (c) 2020, Some Body
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+}
+NOTICES["BSD-2-Clause"] = re.sub(r"3\. Neither.*?\n\n", "", NOTICES["BSD-3-Clause"], flags=re.S)
+
+
+def test_license_notices(spark):
+    cases = []
+    for name, text in NOTICES.items():
+        for width in (50, 60, 79, 10_000):
+            wrapped = "\n\n".join("\n".join(textwrap.wrap(x, width, break_long_words=False)) if "All rights" not in x else x for x in text.split("\n\n"))
+            cases += [(name, wrapped), (name, wrapped.replace("\n", "\r\n")), (name, "\n".join(f" * {x}".rstrip() for x in wrapped.split("\n"))), (name, re.sub(r"(?m)^([123])\.", r"(\1)", wrapped))]
+        cases += [(name, " ".join(text.split("\n\n", 1)[1].split())), (name, f"Some text.\n{text}\nOther text.")]
+    cases += [("MIT", "Released under the MIT License\nOther words"), ("MIT", "Words; released under the MIT License; words"), ("Apache-2.0", 'Licensed under the Apache\nLicense, Version 2.0\n(the "License");\nyou may not use this file except in compliance with the License')]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_rules.licenses(docs).collect()}
+    assert [(i, got[i].verdict, got[i].sequence) for i, (name, _) in enumerate(cases) if got[i].verdict != name] == []
+    whole = {name: got[i] for i, (name, text) in enumerate(cases) if text == f"Some text.\n{NOTICES.get(name)}\nOther text."}
+    assert {name: (r.sequence.count("unknown"), r.n_unmatched) for name, r in whole.items()} == {name: (1 + (name == "MIT"),) * 2 for name in NOTICES}  # the heading and the line of the holder
+
+
 def test_nbest_against_all_paths():
     m = sp_nbest.lattice(str(public_tokenizers.path("piece_bpe_32k.model")))
 
