@@ -39,8 +39,6 @@ from lumenflow.llm import common
 REVISIT_BYTES = 1000
 RANGE_BYTES = 8 << 20
 MAGIC = b"\x1f\x8b\x08"
-#: A WARC header that has not ended after so many bytes is none.
-HEADER_BYTES = 1 << 20
 _CHUNK = 1 << 18
 _NO_ID = -(1 << 63)
 
@@ -173,7 +171,7 @@ def _inflate(w: _Window, limit: int | None = None) -> tuple[bytes, int] | None:
 
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes] | None:
     """Headers (names in lower case) and block of a WARC record."""
-    end = data.find(b"\r\n\r\n", 0, HEADER_BYTES)
+    end = data.find(b"\r\n\r\n")
     if not data.startswith(b"WARC/1.") or end < 0:
         return None
     headers = {}

@@ -40,5 +40,11 @@ def test_ranges_own_each_record_once(size):
     assert got == list(range(30)) if stop == len(data) else got == list(range(len(got)))
 
 
+def test_header_of_any_length():
+    data = b"".join(warc_split._member(warc_split._page_record(i, "u" * n, b"x", None), 6) for i, n in enumerate((1, (1 << 20) + 1, 3 << 20, 1)))
+    got = [(int(h["x-page-id"]), len(h["warc-target-uri"])) for h, _ in warc_split.records_in_range(io.BytesIO(data), 0, len(data))]
+    assert got == [(0, 1), (1, (1 << 20) + 1), (2, 3 << 20), (3, 1)]
+
+
 def test_empty_table(spark):
     assert warc_split.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
