@@ -11,8 +11,8 @@ Only the two histograms (``BUCKETS`` rows) reach the driver; the weights return
 constant. Counting is a scan with partial aggregation, scoring a scan without any shuffle.
 
 Repeated 3-word windows are found within a row by sorting 64-bit numbers that hold a window's hash
-in the high bits and its position in the low ones: two windows of one text of n words are confused
-with a probability below ``n ** 4 / 2 ** 65``.
+in the high bits and its position in the low ones. Those that meet are compared by their words, so the
+count is exact.
 
 Defined cases: a null text has no words; it fails the base rules. A document without grams scores 0.
 Labels that are null or not 1 are not trusted; without any trusted document all weights are 0. Rows
@@ -82,14 +82,17 @@ def score(docs: DataFrame, table: list[int], id_col: str = "doc_id", text_col: s
     lines = F.filter(F.split("t", "\n"), lambda x: bare(x) != "")
     rows = _worded(docs, id_col, text_col).select("doc_id", "w", F.size("w").alias("n"), F.length(bare(F.col("t"))).cast("long").alias("word_chars"), (F.length("t") - F.length(F.translate("t", symbols, ""))).cast("long").alias("n_symbols"), lines.alias("lines"))
     base = ["doc_id", "n", "word_chars", "n_symbols", "n_dup_lines"]
-    rows = rows.selectExpr(*base[:-1], "cast(size(lines) - size(array_distinct(lines)) AS long) AS n_dup_lines", _HASHED)
-    rows = rows.selectExpr(*base, "u", f"{_PAIRS} AS at", "CASE WHEN n > 2 THEN sequence(0, n - 3) ELSE cast(array() AS array<int>) END AS windows", "cast(ceil(log2(greatest(n, 2))) AS int) AS bits")
+    rows = rows.selectExpr(*base[:-1], "cast(size(lines) - size(array_distinct(lines)) AS long) AS n_dup_lines", "w", _HASHED)
+    rows = rows.selectExpr(*base, "w", "u", f"{_PAIRS} AS at", "CASE WHEN n > 2 THEN sequence(0, n - 3) ELSE cast(array() AS array<int>) END AS windows", "cast(ceil(log2(greatest(n, 2))) AS int) AS bits")
     gram = lambda b: F.get(constant, b.cast("int"))
     single = F.aggregate("u", F.lit(0).cast("long"), lambda acc, x: acc + gram(F.pmod(x, F.lit(BUCKETS))))
     double = F.aggregate("at", F.lit(0).cast("long"), lambda acc, i: acc + gram(F.pmod(F.xxhash64(F.get("u", i - 1), F.get("u", i)), F.lit(BUCKETS))))
-    rows = rows.select(*base, "bits", (single + double).alias("total"), F.expr("sort_array(transform(windows, i -> shiftleft(xxhash64(u[i], u[i + 1], u[i + 2]), bits) | i)) AS s"))
+    rows = rows.select(*base, "w", "bits", (single + double).alias("total"), F.expr("sort_array(transform(windows, i -> shiftleft(xxhash64(u[i], u[i + 1], u[i + 2]), bits) | i)) AS s"))
     twice = "filter(s, (x, i) -> shiftright(x, bits) = shiftright(get(s, i - 1), bits) OR shiftright(x, bits) = shiftright(get(s, i + 1), bits))"
-    rows = rows.selectExpr(*base, "total", f"sort_array(transform({twice}, x -> x & (shiftleft(1L, bits) - 1))) AS p")
+    rows = rows.selectExpr(*base, "w", "total", f"transform({twice}, x -> cast(x & (shiftleft(1L, bits) - 1) AS int)) AS met")
+    rows = rows.selectExpr(*base, "total", "sort_array(transform(met, i -> struct(w[i] AS a, w[i + 1] AS b, w[i + 2] AS c, cast(i AS long) AS i))) AS s")
+    same = lambda k: " AND ".join(f"x.{c} = get(s, {k}).{c}" for c in "abc")
+    rows = rows.selectExpr(*base, "total", f"sort_array(transform(filter(s, (x, k) -> ({same('k - 1')}) OR ({same('k + 1')})), x -> x.i)) AS p")
     covered = "aggregate(p, struct(0L AS n, -3L AS last), (a, x) -> struct(a.n + least(3L, x - a.last) AS n, x AS last), a -> a.n)"
     rows = rows.selectExpr(*base, "total", f"{covered} AS n_repeat_words")
     rows = rows.selectExpr("doc_id", "cast(n AS long) AS n_words", *base[2:], "n_repeat_words", f"n < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n AS base_failed", "total", "cast(greatest(2 * n - 1, 0) AS long) AS grams")

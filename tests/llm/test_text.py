@@ -59,6 +59,15 @@ def test_quality_rules_against_brute_force(spark):
     assert quality_llr.judge(docs.filter("false"), labels.filter("false")).count() == 0
 
 
+def test_repeats_are_compared_by_words(spark):
+    """The hashes of the first and last window of a text agree in the 44 bits that its length leaves of them."""
+    filler = " ".join(f"w{i}" for i in range(600_000))
+    texts = [f"a2270743 b c {filler} a8705264 b c", f"a2270743 b c {filler} a2270743 b c"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = quality_llr.score(docs, [0] * quality_llr.BUCKETS).collect()
+    assert {r.doc_id: r.n_repeat_words for r in got} == {0: 0, 1: 6}
+
+
 def test_license_scan(spark):
     rows = [
         (1, "Hello.\nLicensed under the Apache License, Version 2.0.\nBye."),
