@@ -17,7 +17,7 @@ HOT_SHARE = 1 / 1000
 #: Bytes of a row group that a writer holds.
 BLOCK_BYTES = 16 << 20
 #: Ids that may be broadcast: 8 bytes each, a few times that as a hash table.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 250_000
 #: Rows of an Arrow batch: some megabytes of texts.
 BATCH_ROWS = 1000
 
@@ -60,6 +60,11 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def quoted(column: str) -> str:
+    """A column's name as it is, dots and all."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def lookup_by_group(rows: DataFrame, groups: DataFrame, keys: list[str], size_col: str) -> DataFrame:
     """``rows`` left-joined with ``groups`` on ``keys`` (null-safe callers fill nulls first), without a hot task.
 

@@ -8,27 +8,29 @@ from pyspark.sql import functions as F
 from lumenflow.llm import common
 
 
+def _are_stars(links: DataFrame) -> bool:
+    """Whether every a has one b and no b is an a."""
+    ends = links.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(links.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR (up = 1 AND down = 1)").isEmpty()
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """``links``: long columns a, b. Gives (id, component): each id that has a link, with the least id reachable.
 
-    Rounds of two steps until nothing changes: every node links its larger neighbours to its least
-    neighbour, then its smaller ones. A round's table goes to the shared folder, so its lineage is
-    short; only two sums reach the driver. Rounds grow with the logarithm of the links. A hot node
-    is handled by partial aggregation and by a join that adaptive execution can split.
+    Rounds of two steps until all components are stars around their least node: every node links its
+    larger neighbours to its least neighbour, then its smaller ones. A round's table goes to the
+    shared folder, so its lineage is short; nothing but the end of the rounds reaches the driver.
+    Rounds grow with the logarithm of the links. A hot node is handled by partial aggregation and by
+    a join with a settled table, which adaptive execution can split.
     """
     now = common.settle(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    last = None
-    while True:
+    while not _are_stars(now):
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = common.settle(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "links-least")
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = common.settle(large, "links-large")
+        least = common.settle(large.groupBy("a").agg(F.min("b").alias("m")), "links-least")
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
         now = common.settle(small.filter("a <> b").distinct(), "links")
-        sums = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if (sums["n"], sums["h"]) == last:
-            break
-        last = (sums["n"], sums["h"])
     own = now.select("b").distinct().select(F.col("b").alias("id"), F.col("b").alias("component"))
-    return now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).unionByName(own)
+    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(own)

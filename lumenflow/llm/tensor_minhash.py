@@ -5,21 +5,20 @@ table keys are all pairs of one sketch from either, so ``SIDE ** 2`` tables of `
 minhashes cost only ``2 * SIDE * DEPTH`` minhashes. Two sets of similarity s share no table with a
 probability of at most ``2 * (1 - s ** DEPTH) ** SIDE``: 0.06 % at s = 0.8, 0.007 % at 0.85.
 
-Steps. (1) Equal shingle sets form a class and only its least id goes on, so copies make no pairs.
-(2) Each class gets a row for each table; buckets with two classes or more are kept. (3) In a bucket
-all members are compared with its least one, and in buckets of up to three with the greatest too: a
-number of candidates linear in the bucket. (4) Candidates whose sizes or minhashes rule out the similarity are dropped (a pair at
-the threshold is ruled out by minhashes with a probability of about 1e-6); the others are verified
-on their full sets. What is left is compared with a few better centres.
-(5) The classes of buckets of four and more that still hold several components are
-joined across components by exact prefix filtering (:func:`_across`), and what passes is verified
-too; so no link is lost to the shortcut of step 3. (6) Components are labelled without
-collecting anything.
+Steps. (1) Equal shingle sets form a class and only one row of it goes on, so copies make no pairs.
+(2) Each class gets a row for each table; buckets with two classes or more are kept, and the sets of
+their classes are settled once. (3) In a bucket all members are compared with its least one, and in
+buckets of up to three with the greatest too: a number of candidates linear in the bucket. (4)
+Candidates whose sizes or minhashes rule out the similarity are dropped (a pair at the threshold is
+ruled out by minhashes with a probability of about 1e-6); the others are verified on their full sets.
+(5) The classes of buckets of four and more that still hold several components are decided exactly,
+component by component (:mod:`lumenflow.llm.residuals`); so no link is lost to the shortcut of step
+3. (6) Components are labelled without collecting anything.
 
 Defined cases: a text without words (null, empty, blank) has an empty set and is its own component.
-A null ``doc_id`` never names a component unless its class has no other; such a row is kept only
-then. Rows that repeat a ``doc_id`` are one node. An empty table gives an empty result. Extra
-columns are ignored, whatever their names.
+A component is named by its least ``doc_id``; null ids name one only where no other id is there.
+Rows are told apart by id and text, so an id that repeats with another text is another document.
+An empty table gives an empty result. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,10 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenflow.llm import common
+from lumenflow.llm import common, residuals
 from lumenflow.llm.components import connected_components
 from lumenflow.llm.shingles import mix, shingle_set
 
@@ -40,8 +39,6 @@ SIDE, DEPTH = 8, 2
 HASHES = 2 * SIDE * DEPTH
 #: Of the minhashes of a pair at 0.8, fewer than this many agree with a probability of about 1e-6.
 AGREE = 14
-#: Members of a component that what is left in open buckets is compared with before it is joined exactly.
-CENTRES = 16
 
 _U = np.uint64
 _random = np.random.default_rng(6)
@@ -70,14 +67,14 @@ def sides(least: np.ndarray) -> np.ndarray:
     return key
 
 
-_SKETCH = "doc_id long, n_shingles long, fingerprint binary, sketch binary, sides array<long>"
+_SKETCH = "doc_id long, mark binary, n_shingles long, fingerprint binary, sketch binary, sides array<long>"
 
 
 def _sketch(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, prints, sketches, keys = [], [], [], []
-            for text in b.column(1).to_pylist():
+            for text in b.column("text").to_pylist():
                 s = shingle_set(text, words)
                 least = minhashes(s)
                 n.append(len(s))
@@ -86,7 +83,7 @@ def _sketch(words: int):
                 keys.append(sides(least).astype(np.int64))
             offsets = pa.array(np.arange(0, 2 * SIDE * len(n) + 1, 2 * SIDE), pa.int32())
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "n_shingles", "fingerprint", "sketch", "sides"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "mark", "n_shingles", "fingerprint", "sketch", "sides"])
 
     return run
 
@@ -94,10 +91,10 @@ def _sketch(words: int):
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [shingle_set(t, words).astype(np.int64) for t in b.column(1).to_pylist()]
+            got = [shingle_set(t, words).astype(np.int64) for t in b.column("text").to_pylist()]
             offsets = pa.array(np.cumsum([0, *map(len, got)]), pa.int32())
             flat = pa.array(np.concatenate(got) if got else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, flat)], names=["id", "items"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(offsets, flat)], names=["id", "items"])
 
     return run
 
@@ -115,68 +112,43 @@ def _agreeing(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select(["a", "b"]).filter(ok)
 
 
-def _common_items(rows: DataFrame) -> DataFrame:
-    """From rows (id, component, n, items): the items xs of each set that more than one component has, rarest first, and their number k."""
-    each = rows.select("id", "component", "n", F.explode("items").alias("item"))
-    met = each.groupBy("item").agg(F.count("*").alias("c"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("item", "c")
-    sets = each.join(met, "item").groupBy("id", "component", "n").agg(F.sort_array(F.collect_list(F.struct("c", "item"))).alias("xs"))
-    return common.settle(sets.select("id", "component", "n", F.size("xs").alias("k"), "xs"), "near-common")
-
-
-def _across(sets: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) in different components, from :func:`_common_items`: a superset of all links.
-
-    A set of n items whose link to another set of m items needs ``o = percent (n + m) / (100 +
-    percent)`` common items can take them only from items that more than one component has. If it
-    has k of those, then m is at most ``k (100 + percent) / percent - n``, which rules most sets
-    out. In one order common to all (rarest first), the first item that two linked sets share has
-    ``o - 1`` common items after it in either, so its rank in either is at most ``k - o + 1``: the
-    prefixes that this allows for the least partner are posted, and a pair must meet by an item that
-    both ranks allow for its own ``o``. A prefix item's rows of its most frequent component are not
-    joined with one another.
-    """
-    k = F.col("k")
-    most = F.floor(k * (100 + percent) / F.lit(percent)) - F.col("n")
-    first = k - F.ceil(F.col("n") * percent / F.lit(100)) + 1
-    able = sets.withColumn("most", most).withColumn("first", first.cast("int")).filter((F.col("first") > 0) & (F.col("most") * 100 >= F.col("n") * percent))
-    prefix = able.select("id", "component", "n", "most", "k", F.posexplode(F.transform(F.slice("xs", 1, F.col("first")), lambda v: v["item"])).alias("rank", "item"))
-    posted = common.settle(prefix, "near-prefixes")
-    counted = posted.groupBy("item", "component").agg(F.count("*").alias("c"))
-    mains = counted.groupBy("item").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("k")).filter("k > 1").select("item", "main")
-    own = ("id", "component", "n", "most", "k", "rank")
-    left = posted.join(mains, "item").filter("component <> main").select("item", *(F.col(c).alias(f"{c}_x") for c in own))
-    right = posted.select("item", *(F.col(c).alias(f"{c}_y") for c in own))
-    need = F.ceil((F.col("n_x") + F.col("n_y")) * percent / F.lit(100 + percent) - 1e-9)
-    fits = (F.col("component_x") != F.col("component_y")) & (F.col("n_x") <= F.col("most_y")) & (F.col("n_y") <= F.col("most_x")) & _sizes_allow("n_x", "n_y", percent)
-    fits &= (F.col("rank_x") + need <= F.col("k_x")) & (F.col("rank_y") + need <= F.col("k_y"))
-    joined = left.join(right, (left["item"] == right["item"]) & fits)
-    return joined.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    wanted = common.settle(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-wanted")
-    sets = common.settle(common.rows_with_ids(texts, wanted, "id").mapInArrow(_sets(words), "id long, items array<long>"), "near-sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("items_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("items_b")), "b")
     shared = F.size(F.array_intersect("items_a", "items_b"))
     return both.filter(F.lit(100) * shared >= F.lit(percent) * (F.size("items_a") + F.size("items_b") - shared)).select("a", "b")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
-    common.ship(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _marked(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """doc_id, text (null as empty), mark, which tells texts apart, and ``more``."""
+    text = F.coalesce(F.col(common.quoted(text_col)).cast("string"), F.lit(""))
+    return docs.select(F.col(common.quoted(id_col)).cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("mark"), *more)
+
+
+def _sets_of(ids: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(id, items) of the classes in ``ids`` (settled), from one row of each class."""
+    chosen = common.settle(classes.join(ids, "id").select("id", F.col("doc_id").alias("at"), F.col("mark").alias("by")), "near-chosen")
+    few = chosen.limit(common.BROADCAST_IDS + 1).count() <= common.BROADCAST_IDS
+    found = docs.join(F.broadcast(chosen) if few else chosen, F.col("doc_id").eqNullSafe(F.col("at")) & (F.col("mark") == F.col("by"))).select("id", "text")
+    sets = common.settle(found.mapInArrow(_sets(words), "id long, items array<long>"), "near-sets")
+    return sets if sets.count() == chosen.count() else common.settle(sets.dropDuplicates(["id"]), "near-sets-once")
+
+
+def _labelled(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """From :func:`_marked` rows: their sketches, and (fingerprint, n_shingles, size, component_id, stays) of each class; ``stays`` is the component's first row."""
     rows = common.settle(docs.mapInArrow(_sketch(words), _SKETCH), "near-sketches")
     named = rows.filter("n_shingles > 0")
-    classes = common.settle(named.groupBy("fingerprint", "n_shingles").agg(F.min(F.struct("doc_id", "sketch", "sides")).alias("x"), F.count("*").alias("size"), F.min("doc_id").alias("id")).select("fingerprint", "n_shingles", "size", "id", "x.sketch", "x.sides"), "near-classes")
-    nodes = classes.filter("id IS NOT NULL").select("id", F.col("n_shingles").alias("n"), "sketch", "sides")
-
-    first, second = F.slice("sides", 1, SIDE), F.slice("sides", SIDE + 1, SIDE)
-    keys = F.flatten(F.transform(first, lambda a: F.transform(second, lambda b: F.xxhash64(a, b))))
-    dealt = nodes.select(F.explode(keys).alias("key"), "id").repartition("key")
+    first_row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")
+    grouped = named.groupBy("fingerprint", "n_shingles").agg(F.min(F.struct(first_row.alias("row"), "sketch", "sides")).alias("x"), F.count("*").alias("size"))
+    classes = grouped.select(F.monotonically_increasing_id().alias("id"), "fingerprint", "n_shingles", "size", "x.row", "x.row.doc_id", "x.row.mark", "x.sketch", "x.sides")
+    classes = common.settle(classes, "near-classes")
+    nodes = classes.select("id", F.col("n_shingles").alias("n"), "sketch", "sides")
+
+    one, two = F.slice("sides", 1, SIDE), F.slice("sides", SIDE + 1, SIDE)
+    keys = F.flatten(F.transform(one, lambda a: F.transform(two, lambda b: F.xxhash64(a, b))))
+    dealt = nodes.select(F.explode(keys).alias("key"), "id")
     buckets = dealt.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("members")).filter("lo <> hi")
-    members = common.settle(dealt.join(buckets, "key"), "near-members")
+    members = common.settle(dealt.join(common.settle(buckets, "near-buckets"), "key"), "near-members")
 
     light = nodes.select("id", "n", "sketch")
 
@@ -184,51 +156,69 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         side = lambda c: light.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
         return pairs.join(side("a"), "a").join(side("b"), "b").filter(_sizes_allow("n_a", "n_b", percent)).select("a", "b", "sketch_a", "sketch_b").mapInArrow(_agreeing, "a long, b long")
 
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
     centres = F.when(F.col("members") > 3, F.array("lo")).otherwise(F.array("lo", "hi"))
     stars = members.select(F.explode(centres).alias("p"), "id").filter("p <> id").select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
-    links = common.settle(_verified(common.settle(allowed(stars), "near-stars"), texts, words, percent), "near-links")
-    labels = common.settle(connected_components(links), "near-labels")
-
+    stars = common.settle(allowed(stars), "near-stars")
     # Buckets of up to three are complete; larger ones may hold a link across components.
     large = members.filter("members > 3").select("key", "id")
+    wanted = common.settle(stars.select(F.explode(F.array("a", "b")).alias("id")).unionAll(large.select("id")).distinct(), "near-wanted")
+    sets = _sets_of(wanted, classes, docs, words)
+    links = common.settle(_verified(stars, sets, percent), "near-links")
+    labels = common.settle(connected_components(links), "near-labels")
 
-    def open_members() -> tuple[DataFrame, DataFrame]:
-        """The larger buckets' rows with their components, and the buckets that hold several."""
-        told = large.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        return told, told.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key", "x")
-
-    def unsure() -> tuple[DataFrame, DataFrame]:
-        """The classes of open buckets, each with the least component it meets, and what their sets have in common."""
-        told, open_ = open_members()
-        met = common.settle(told.join(open_, "key").groupBy("id", "component").agg(F.min("x").alias("x")).join(light.select("id", "n"), "id"), "near-unsure")
-        sets = common.rows_with_ids(texts, met.select("id"), "id").mapInArrow(_sets(words), "id long, items array<long>")
-        return met, _common_items(met.select("id", "component", "n").join(sets, "id"))
-
-    # A bucket's centre may be a poor one, such as a copy with many changes. What a component has to
-    # itself are its members' changes, so those with the least of that are nearest to the rest.
-    met, sets = unsure()
-    part = F.pmod(F.xxhash64("id"), F.lit(CENTRES))
-    centres = sets.groupBy(F.col("component").alias("x"), part.alias("part")).agg(F.max_by("id", F.struct(F.col("k") / F.col("n"), "id")).alias("centre")).select("x", "centre")
-    again = met.filter("component <> x").join(centres, "x").select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
-    new = common.settle(_verified(common.settle(allowed(again), "near-again"), texts, words, percent), "near-new")
-    if not new.isEmpty():
-        links = links.unionByName(new)
-        labels = common.settle(connected_components(links), "near-labels")
-        met, sets = unsure()
-
-    across = common.settle(_across(sets, percent), "near-across")
-    more = common.settle(_verified(common.settle(allowed(across), "near-across-allowed"), texts, words, percent), "near-more")
-    if not more.isEmpty():
-        labels = common.settle(connected_components(links.unionByName(more)), "near-labels")
-
-    grouped = classes.join(labels, "id", "left").select("fingerprint", "n_shingles", "size", F.coalesce("component", "id").alias("component_id"))
-    found = common.lookup_by_group(named.select("doc_id", "n_shingles", "fingerprint"), common.settle(grouped, "near-groups"), ["fingerprint", "n_shingles"], "size").select("doc_id", "n_shingles", "component_id")
-    alone = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return found.unionByName(alone).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    told = common.settle(large.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "near-told")
+    open_ = common.settle(told.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key", "x"), "near-open")
+    met = told.join(open_, "key").select("id", "component", "x").distinct()
+    met = common.settle(met, "near-met")
+    if not met.isEmpty():
+        regions = common.settle(connected_components(met.select(F.col("x").alias("a"), F.col("component").alias("b")).distinct()), "near-regions")
+        placed = met.select("id", "component").distinct().join(regions.select(F.col("id").alias("component"), F.col("component").alias("g")), "component").join(light.select("id", "n"), "id")
+        across = residuals.component_links(common.settle(placed, "near-placed"), sets, percent)
+        merged = common.settle(connected_components(across), "near-merged").select(F.col("id").alias("component"), F.col("component").alias("whole"))
+        alone = merged.select(F.col("component").alias("id"), "whole").join(labels.select("id"), "id", "left_anti")
+        labels = labels.join(merged, "component", "left").select("id", F.coalesce("whole", "component").alias("component")).unionByName(alone.select("id", F.col("whole").alias("component")))
+        labels = common.settle(labels, "near-all-labels")
+
+    of = classes.select("id", "fingerprint", "n_shingles", "size", "row").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    of = common.settle(of, "near-components")
+    firsts = common.settle(of.groupBy("component").agg(F.min("row").alias("stays"), F.count("*").alias("classes")), "near-firsts")
+    told = common.lookup_by_group(of, firsts, ["component"], "classes")
+    return rows, common.settle(told.select("fingerprint", "n_shingles", "size", F.col("stays.doc_id").alias("component_id"), "stays"), "near-groups")
+
+
+def _decided(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """One row for each of the :func:`_marked` rows: doc_id, mark, n_shingles, component_id, and ``stays`` (doc_id and mark of the row that stays for it)."""
+    rows, groups = _labelled(docs, words, percent)
+    own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")
+    found = common.lookup_by_group(rows.filter("n_shingles > 0").select("doc_id", "mark", "n_shingles", "fingerprint"), groups, ["fingerprint", "n_shingles"], "size")
+    alone = rows.filter("n_shingles = 0").select("doc_id", "mark", "n_shingles", F.col("doc_id").alias("component_id"), own.alias("stays"))
+    return found.select(*alone.columns).unionByName(alone)
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept (doc_id is component_id)."""
+    common.ship(docs.sparkSession)
+    told = _decided(_marked(docs, id_col, text_col), words, percent)
+    return told.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay, with the columns they had: one document of each component."""
-    gone = near_groups(docs, id_col, text_col, words, percent).filter("NOT kept").select(F.col("doc_id").alias(id_col))
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that stay, with the columns they had: one row of each component.
+
+    It is the one with the least id, rows without an id last; of rows with that id the one whose text
+    has the least hash; of rows equal in id and text any one. Texts without words all stay.
+    """
+    common.ship(docs.sparkSession)
+    told = common.settle(_decided(_marked(docs, id_col, text_col), words, percent).select("doc_id", "mark", "n_shingles", (F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("mark") == F.col("stays.mark"))).alias("kept")), "near-decided")
+    gone = common.settle(told.filter("NOT kept").select(F.col("doc_id").alias("at"), F.col("mark").alias("by")).distinct(), "near-gone")
+    few = gone.limit(common.BROADCAST_IDS + 1).count() <= common.BROADCAST_IDS
+    rows = _marked(docs, id_col, text_col, F.struct(*(F.col(common.quoted(c)) for c in docs.columns)).alias("held")).drop("text")
+    same = F.col("doc_id").eqNullSafe(F.col("at")) & (F.col("mark") == F.col("by"))
+    left = rows.join(F.broadcast(gone) if few else gone, same, "left_anti")
+    twice = common.settle(told.filter("kept AND n_shingles > 0").groupBy(F.col("doc_id").alias("at"), F.col("mark").alias("by")).agg(F.count("*").alias("n")).filter("n > 1").select("at", "by"), "near-twice")
+    if not twice.isEmpty():
+        few = twice.limit(common.BROADCAST_IDS + 1).count() <= common.BROADCAST_IDS
+        again = F.broadcast(twice) if few else twice
+        one = left.join(again, same, "left_semi").groupBy("doc_id", "mark").agg(F.first("held").alias("held")).select("held")
+        left = left.join(again, same, "left_anti").select("held").unionByName(one)
+    return left.select("held.*")
