@@ -1,11 +1,13 @@
 """Best-fit packing with exact complements.
 
 Pieces of one length are interchangeable, so the plan is made over the histogram of lengths, which
-has at most ``capacity`` rows however large the corpus is. The planner indexes single, pair and
-triple sums of the available lengths; it consumes combinations that fill a gap exactly, under the
-counts still available, then packs what is left by best fit, longest first. The plan is a list of
-patterns (lengths side by side, repeated so many times); each pattern's slot takes a range of ranks
-of its length. Tasks then turn a piece's rank among the pieces of its length into a place.
+has at most ``capacity`` rows however large the corpus is. The planner indexes the single, pair and
+triple sums of the available lengths; for each length, longest first, it consumes single pieces, then
+pairs, then triples that fill its gap exactly, under the counts still available, and packs what is
+left by best fit, longest first. Where that takes more sequences than the tokens need, combinations
+of the most and shortest pieces are given back to the best fit, more of them in each of a few tries. The plan is
+a list of patterns (lengths side by side, repeated so many times); each pattern's slot takes a range
+of ranks of its length. Tasks then turn a piece's rank among the pieces of its length into a place.
 
 Texts are tokenized once; only a piece's length and the checksum of its ids are kept.
 
@@ -18,10 +20,11 @@ ignored, whatever their names.
 from __future__ import annotations
 
 import json
+import math
 import re
 import zlib
 from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,16 +53,17 @@ def _byte_chars() -> dict[str, int]:
 class ByteBpe:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, by a byte-level BPE file of ``tokenizers``.
 
-    Where the file's merges rank as its ids do, ids come from the same table through tiktoken, which
-    is about four times as fast and gives the same ids; long unbroken runs, and files that rank
-    otherwise, go through ``tokenizers``.
+    They are those of ``Tokenizer.encode(text, add_special_tokens=False)``. Where the file's merges
+    rank as its ids do, they come from the same table through tiktoken, which is about four times as
+    fast; long unbroken runs, texts with the string of an added token (which is a token then), and
+    files that rank otherwise go through ``tokenizers``.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self._slow = Tokenizer.from_file(path)
-        self._slow.encode_special_tokens = True  # their strings in a text are ordinary text
+        self._added = [t["content"] for t in json.loads(open(path, encoding="utf-8").read()).get("added_tokens") or []]
         self._fast = self._ranked(path)
 
     @staticmethod
@@ -79,7 +83,7 @@ class ByteBpe:
         return tiktoken.Encoding("ranks", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        if self._fast is None or len(text) > LONG_RUN and max(map(len, text.split()), default=0) > LONG_RUN or len(text) > LONG_RUN and max(map(len, _SPACES.findall(text)), default=0) > LONG_RUN:
+        if self._fast is None or any(t in text for t in self._added) or len(text) > LONG_RUN and max(map(len, text.split()), default=0) > LONG_RUN or len(text) > LONG_RUN and max(map(len, _SPACES.findall(text)), default=0) > LONG_RUN:
             ids = self._slow.encode(text, add_special_tokens=False).ids
         else:
             ids = self._fast.encode_ordinary(text)
@@ -122,52 +126,79 @@ def _cut(path: str, capacity: int):
     return run
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths side by side, times) that use each length as often as ``counts`` says.
-
-    Exact combinations may take small pieces that a tight best fit needs, so plans with triples,
-    with pairs, with single complements and with none before the best fit compete.
-    """
-    return min((_plan(counts, capacity, most) for most in (3, 2, 1, 0)), key=lambda p: sum(k for _, k in p))
-
-
-def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
-    """A plan whose exact combinations fill a gap with at most ``most`` pieces."""
-    left = np.zeros(capacity + 1, dtype=np.int64)
-    for length, n in counts.items():
-        left[length] = n
-    out: list[tuple[tuple[int, ...], int]] = []
-
-    def take(*lengths: int) -> bool:
+Pattern = tuple[tuple[int, ...], int]
+#: Shares of the combinations of three pieces and more that are given back to the best fit, one after the other, where the plan is not as short as can be.
+GIVEN_BACK = (1 / 64, 1 / 16, 1 / 4, 1 / 2, 1)
+
+
+class SumIndex:
+    """Single, pair and triple sums of the lengths available; ``left`` is read as it is now."""
+
+    def __init__(self, left: np.ndarray) -> None:
+        self.left = left
+        have = np.flatnonzero(left)
+        i, j = np.triu_indices(len(have))
+        low, total = have[i], have[i] + have[j]
+        order = np.flatnonzero(total < len(left))
+        order = order[np.lexsort((low[order], total[order]))]
+        self._low, self._at = low[order], np.searchsorted(total[order], np.arange(len(left) + 1))
+        self._have = have
+        # Bit s says whether some combination has the sum s.
+        twos = sum(1 << s for s in range(len(left)) if self._at[s] < self._at[s + 1])
+        self._threes = 0
+        for x in have.tolist():
+            self._threes |= twos << x
+
+    def single(self, gap: int) -> list[tuple[int, ...]]:
+        return [(gap,)] if self.left[gap] else []
+
+    def pairs(self, gap: int) -> list[tuple[int, ...]]:
+        """Pairs that sum to ``gap``, the most unequal first."""
+        low = self._low[self._at[gap] : self._at[gap + 1]]
+        low = low[(self.left[low] > 0) & (self.left[gap - low] > 0)]
+        return [(gap - x, x) for x in low.tolist()]
+
+    def triples(self, gap: int) -> Iterator[tuple[int, ...]]:
+        """Triples that sum to ``gap``, by their largest piece."""
+        if self._threes >> gap & 1:
+            for x in self._have[: np.searchsorted(self._have, gap - 1)][::-1].tolist():
+                if self.left[x] and 3 * x >= gap:
+                    for y, z in self.pairs(gap - x):
+                        if y <= x:
+                            yield x, y, z
+
+
+def exact_combinations(left: np.ndarray) -> list[Pattern]:
+    """Patterns without a gap, of up to four pieces; they are taken off ``left``."""
+    capacity = len(left) - 1
+    out: list[Pattern] = []
+    index = SumIndex(left)
+
+    def take(lengths: tuple[int, ...]) -> None:
         """Use this combination as often as the counts allow."""
-        need = defaultdict(int)
-        for x in lengths:
-            need[x] += 1
+        need = Counter(lengths)
         k = min(int(left[x]) // n for x, n in need.items())
         if k > 0:
             for x, n in need.items():
                 left[x] -= k * n
             out.append((lengths, k))
-        return k > 0
-
-    take(capacity)
-    # Single, pair and triple complements for each length, longest first. An index of sums is kept
-    # as the sorted lengths still available: a gap's pairs are read off it from both ends.
-    for first in range(capacity - 1, 0, -1):
-        gap = capacity - first
-        if most and left[first] and left[gap]:
-            take(first, gap)
-        if most > 1 and left[first]:
-            _pairs(first, (), gap, left, take)
-        if most > 2 and left[first]:
-            have = np.flatnonzero(left[: min(gap, first) + 1])
-            for a in have[::-1]:
-                if not left[first]:
-                    break
-                if left[a] and gap - a >= 2:
-                    _pairs(first, (int(a),), gap - int(a), left, take)
-    # What is left: best fit, longest first, equal bins together.
-    bins: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)
+
+    take((capacity,))
+    for more in (index.single, index.pairs, index.triples):
+        for first in range(capacity - 1, 0, -1):
+            if left[first]:
+                for rest in more(capacity - first):
+                    if not left[first]:
+                        break
+                    take((first, *rest))
+    return out
+
+
+def best_fit(left: np.ndarray) -> list[Pattern]:
+    """Best fit of all that ``left`` counts, longest first, equal bins together."""
+    capacity = len(left) - 1
+    left = left.copy()
+    bins: dict[int, list[Pattern]] = defaultdict(list)
     gaps: list[int] = []
 
     def put(gap: int, pattern: tuple[int, ...], k: int) -> None:
@@ -199,21 +230,36 @@ def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[
                 put(gap, pattern, k - use)
             put(gap - fit * length, pattern + (length,) * fit, use)
             left[length] -= use * fit
-    out += [x for kept in bins.values() for x in kept]
-    return out
+    return [x for kept in bins.values() for x in kept]
 
 
-def _pairs(first: int, more: tuple[int, ...], gap: int, left: np.ndarray, take) -> None:
-    """Consume pairs of available lengths that sum to ``gap``, nearest to halves last."""
-    lo = np.arange(1, gap // 2 + 1)
-    good = lo[(left[lo] > 0) & (left[gap - lo] > 0)]
-    for a in good:
-        if not left[first]:
-            return
-        take(first, *more, gap - int(a), int(a))
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
+    """Patterns (lengths side by side, times) that use each length as often as ``counts`` says."""
+    left = np.zeros(capacity + 1, dtype=np.int64)
+    for length, n in counts.items():
+        left[length] = n
+    least = -(-int(left @ np.arange(capacity + 1)) // capacity)
+    exact = exact_combinations(left)
+    number = lambda patterns: sum(k for _, k in patterns)
+    best = exact + best_fit(left)
+    pairs, more = ([x for x in exact if (len(x[0]) > 2) == many] for many in (False, True))
+    more.sort(key=lambda x: (-len(x[0]), x[0][0]))
+    for share in GIVEN_BACK:
+        if number(best) <= least:
+            break
+        back, rest, kept = math.ceil(number(more) * share), left.copy(), []
+        for lengths, k in more:
+            use = min(k, back)
+            back -= use
+            for x in lengths:
+                rest[x] += use
+            if use < k:
+                kept.append((lengths, k - use))
+        best = min(best, pairs + kept + best_fit(rest), key=number)
+    return best
 
 
-def _slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
+def _slots(patterns: list[Pattern]) -> dict[str, np.ndarray]:
     """For each length, ranges of ranks with the sequence of the first and the place in it; sorted."""
     upto: dict[int, int] = defaultdict(int)
     rows, sequence = [], 0
