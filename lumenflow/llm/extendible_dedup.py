@@ -100,6 +100,7 @@ class Directory:
         self.depth = 0
         self.slots = [0]
         self._local = [0]
+        self._prefix = [0]
         self._weight = [sum(weights.values())]
         self._held = [sorted(weights.items())]
         queue = [0]
@@ -122,9 +123,10 @@ class Directory:
         self._local.append(self._local[b])
         self._weight[b] = sum(w for _, w in self._held[b])
         self._weight.append(sum(w for _, w in upper))
-        at = [i for i, s in enumerate(self.slots) if s == b]
-        for i in at[len(at) // 2 :]:
-            self.slots[i] = new
+        self._prefix[b] *= 2
+        self._prefix.append(self._prefix[b] + 1)
+        run = 1 << self.depth - self._local[b]  # a bucket's slots lie side by side
+        self.slots[self._prefix[new] * run : (self._prefix[new] + 1) * run] = [new] * run
         return new
 
     @property
@@ -166,7 +168,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
     spark = docs.sparkSession
     common.ship(spark)
-    index = common.settle(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_index_rows, _ROW), "dedup-index")
+    index = common.settle(docs.select(F.col(common.quoted(id_col)).cast("long").alias("doc_id"), F.col(common.quoted(text_col)).cast("string").alias("text")).mapInArrow(_index_rows, _ROW), "dedup-index")
     entries, pages = index.filter("n = 0").select("key", "sha", "doc_id", "rid"), index.filter("n > 0")
     prefix = F.shiftrightunsigned(F.col("key"), 64 - MAX_DEPTH)
     weights = {r["p"]: r["w"] for r in pages.groupBy(prefix.cast("int").alias("p")).agg(F.sum("size").alias("w")).collect()}  # 2 ** MAX_DEPTH rows at most
@@ -179,10 +181,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with the columns they had; one row of each group of equal texts."""
-    own = docs.columns
-    ids, sha = F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
-    rows = exact_groups(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(_LEAST)).alias("_id"), F.col("text_sha256").alias("_sha"), "kept")
-    gone = rows.groupBy("_id", "_sha").agg(F.max("kept").alias("kept")).filter("NOT kept").select("_id", "_sha")
+    """The rows of ``docs`` that stay, with the columns they had, whatever their names; one row of each group of equal texts.
+
+    It is the one with the largest id, rows without an id last; of rows equal in id and text any one.
+    """
+    ids = F.coalesce(F.col(common.quoted(id_col)).cast("long"), F.lit(_LEAST))
+    sha = F.sha2(F.coalesce(F.col(common.quoted(text_col)).cast("string"), F.lit("")), 256)
+    rows = exact_groups(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(_LEAST)).alias("id"), F.col("text_sha256").alias("sha"), "kept")
+    gone = rows.groupBy("id", "sha").agg(F.max("kept").alias("kept")).filter("NOT kept").select("id", "sha")
     # One exchange of the texts: rows that tie in id and text meet in it too.
-    return docs.withColumns({"_id": ids, "_sha": sha}).join(gone, ["_id", "_sha"], "left_anti").dropDuplicates(["_id", "_sha"]).select(*own)
+    held = docs.select(ids.alias("id"), sha.alias("sha"), F.struct(*(F.col(common.quoted(c)) for c in docs.columns)).alias("held"))
+    return held.join(gone, ["id", "sha"], "left_anti").dropDuplicates(["id", "sha"]).select("held.*")
