@@ -114,15 +114,15 @@ def held_out(id_col: str | Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """Train on a bounded sample: the ``sample`` rows of each class with the least hash of their id."""
+    """Train on a bounded sample: the ``sample`` ids of each class with the least hash; where an id repeats, its least text."""
     told = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter(~held_out("doc_id")).filter("doc_id IS NOT NULL AND y IN (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = None
     for y in (0, 1):
         part = told.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         chosen = part if chosen is None else chosen.unionAll(part)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    got = texts.join(F.broadcast(chosen), "doc_id").toArrow().to_pylist()  # 2 * sample rows, unless ids repeat
-    got.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
+    got = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
+    got = sorted(got.toArrow().to_pylist(), key=lambda r: r["doc_id"])  # 2 * sample rows at most
     return train([r["text"] for r in got], [r["y"] for r in got])
 
 
