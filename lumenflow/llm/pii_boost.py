@@ -10,6 +10,9 @@ stays, and candidates that overlap a base span are left to it.
 
 All scans are linear in the text. The model is a few kilobytes whatever the corpus.
 
+The looser generators stop at what the formats themselves allow: 64 characters of a local part, 15
+digits of a telephone number, 19 of a card.
+
 Defined cases: a null text counts as empty and has no spans. Rows that repeat a ``doc_id``, or have
 none, are searched each. An empty table gives an empty result. Extra columns are ignored, whatever
 their names.
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,8 +46,9 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 # Generators of looser candidates.
 _AT = re.compile(r"[(\[{<] ?(?:at|AT|At) ?[)\]}>]")
-_LOOSE_DOMAIN = re.compile(r" ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[(\[{<] ?(?:dot|DOT|Dot) ?[)\]}>]) ?[A-Za-z0-9-]{1,63}){1,6}")
-_NUMBER = re.compile(r"(?<![\w+.-])\(?[0-9](?:[ ()./-]{0,2}[0-9]){6,24}(?![\w])")
+_LOOSE_DOMAIN = re.compile(r" ?[A-Za-z0-9-]++(?: ?(?:\.|[(\[{<] ?(?:dot|DOT|Dot) ?[)\]}>]) ?[A-Za-z0-9-]++)++")
+_SAID_AT = re.compile(r"(?<= )(?:at|AT) ([A-Za-z0-9-]++(?: (?:dot|DOT) [A-Za-z0-9-]++)++)")
+_NUMBER = re.compile(r"(?<![\w+.-])\(?[0-9](?:[ ()./-]{0,2}+[0-9])+(?![\w])")
 _IP6 = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){1,7}(?::?[0-9A-Fa-f]{1,4}){1,7}(?![\w:])")
 
 
@@ -91,17 +96,28 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _local_start(text: str, end: int) -> int:
+    """Where the characters of a local part that end at ``end`` begin; 64 at most, as in mail."""
+    start = end
+    while start > 0 and end - start < 64 and text[start - 1] in _LOCAL:
+        start -= 1
+    return start
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Spans that may be personal data beyond the fixed patterns; they may overlap."""
     out = []
     for m in _AT.finditer(text):
         start = m.start() - (text[m.start() - 1 : m.start()] == " ")
         end, start = start, start
-        while start > 0 and end - start < 64 and text[start - 1] in _LOCAL:
-            start -= 1
+        start = _local_start(text, start)
         d = _LOOSE_DOMAIN.match(text, m.end()) if start < end else None
         if d:
             out.append(("email", start, d.end()))
+    for m in _SAID_AT.finditer(text):
+        start = _local_start(text, m.start() - 1)
+        if start < m.start() - 1:
+            out.append(("email", start, m.end()))
     if _DIGIT.search(text):
         for m in _NUMBER.finditer(text):
             n = sum(c.isdigit() for c in m.group())
@@ -159,7 +175,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(before[-1:] in ("#", "$", "€", "£", "%", "=", "/", "_", ".", ",", "x", "v")),
         float(after[:1] in ("%", "$", "€", "/", "_", ",", "x") or after.lstrip()[:2] in ("km", "kg", "eu", "us", "mb", "gb", "ms")),
         float("dot" in span.lower()),
-        float(bool(re.search(r"(no|nr|id|order|isbn|page|pp|version|ref)[ .:#]*$", before))),
+        float(bool(re.search(r"(no|nr|id|order|isbn|pages?|pp|version|ref)[ .:#]*$", before))),
     ]
 
 
@@ -177,7 +193,7 @@ def _lines(rng: np.random.Generator, n: int) -> Iterator[tuple[str, str, int, in
 
     for _ in range(n):
         cue, kind, yes = "", "phone", 1
-        match int(rng.integers(0, 16)):
+        match int(rng.integers(0, 18)):
             case 0:
                 span = pick(["({}) {}-{}", "({}){}-{}", "({}) {} {}"]).format(d(3, 2), d(3, 2), d(4))
             case 1:
@@ -214,6 +230,12 @@ def _lines(rng: np.random.Generator, n: int) -> Iterator[tuple[str, str, int, in
                 kind, yes = "email", 0
                 span = f"{word()} [at] {word()} . {word()} {word()}"[: int(rng.integers(16, 30))]
             case 14:
+                span, yes, cue = pick(["{}-{}-{}", "{}.{}.{}"]).format(d(3, 2), d(3, 2), d(4)), 0, pick(["pages ", "page ", "pp. ", "no. ", "id ", "order ", "ref: ", "version "])
+            case 15:
+                kind, yes = "email", int(rng.integers(2))
+                span = f"{word()}.{word()} at {word()} dot {pick(['com', 'org', 'net', 'de'])}" if yes else f"{word()} at {word()} dot {word()}"
+                cue = pick(["mail ", "contact: ", "write to ", "reach me: "]) if yes else ""
+            case 16:
                 kind, cue = "ip", pick(["", "host ", "ip ", "from "])
                 span = ":".join(f"{x:x}" for x in rng.integers(256, 65536, 8))
             case _:
@@ -245,7 +267,7 @@ def model() -> tuple[BoostedTrees, tuple[float, ...]]:
 def find_spans(text: str, trees: BoostedTrees, thresholds: tuple[float, ...]) -> tuple[list, list]:
     """Base spans, and all spans, each by start and kind."""
     base = base_spans(text)
-    more = [c for c in candidates(text) if not any(c[1] < e and s < c[2] for _, s, e in base)] if len(base) < 50 else _apart(candidates(text), base)
+    more = _apart(candidates(text), base)
     if not more:
         return base, base
     p = trees.score(np.array([features(text, *c) for c in more]))
@@ -259,15 +281,12 @@ def find_spans(text: str, trees: BoostedTrees, thresholds: tuple[float, ...]) ->
 
 
 def _apart(spans: list, base: list) -> list:
-    """Those of ``spans`` that overlap none of ``base``; both may be long."""
-    out, k = [], 0
-    ends = sorted((s, e) for _, s, e in base)
-    for c in sorted(spans, key=lambda x: x[1]):
-        while k < len(ends) and ends[k][1] <= c[1]:
-            k += 1
-        if not any(s < c[2] and c[1] < e for s, e in ends[max(0, k - 4) : k + 8]):
-            out.append(c)
-    return out
+    """Those of ``spans`` that overlap none of ``base`` (by start)."""
+    starts, reach, top = [s for _, s, _ in base], [], 0
+    for _, _, e in base:
+        top = max(top, e)
+        reach.append(top)  # the furthest end so far
+    return [c for c in spans if not (k := bisect_left(starts, c[2])) or reach[k - 1] <= c[1]]
 
 
 def _disjoint(spans: list) -> list:
