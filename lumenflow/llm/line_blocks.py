@@ -7,7 +7,7 @@ The passages are the main text, on every page.
 
 What a page says of itself is evidence that weighs its lines. A line in an article counts
 ``ARTICLE`` times and never dives. Lines of menus, headers, footers, sidebars, notices, adverts,
-forms and comments are summed on their own, by what is not in links, and need ``MARK`` times the
+forms (but those around an article) and comments are summed on their own, by what is not in links, and need ``MARK`` times the
 density. A line of links only counts as blank outside an article and once in it. Scripts, styles and
 what is not displayed are no lines. If nothing surges, the text of articles is kept, or else the
 densest stretch of unmarked lines.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,6 +41,7 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 NOT_TEXT = frozenset("aside dialog footer form header label menu nav".split())
 UNSEEN = frozenset("button datalist head input noscript option select template textarea title".split())
 RAW = frozenset("script style iframe noembed noframes svg math object canvas audio video".split())
+WALLS = frozenset("article main body td table".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MARKED = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|consent|cookie|cookies|copyright|disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|outbrain|pager|pagination|popup|promo|promoted|related|replies|respond|share|sharing|sidebar|sidebars|signup|skip|social|sponsor|sponsored|subscribe|taboola|teaser|toolbar|widget|widgets)(?:$|[\s_-])")
 ARTICLE_NAME = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main|content)(?:[\s_-]?(?:body|content|text))?(?:$|[\s_-])")
@@ -49,6 +51,8 @@ _PEERS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|[^<]++|<(?![A-Za-z/])", re.S)
 _CUT_TAG = re.compile(r"<(/?)([A-Za-z]*)([^>]*)>")
+#: A header by this name is the article's own.
+OWN_HEADER = re.compile(r"(?:^|\s)(?:article|post|entry|story|content)[_-]+header(?=$|\s)")
 _ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 
 
@@ -60,8 +64,8 @@ def _marks(name: str, rest: str) -> tuple[bool, bool, bool]:
     named = f"{attributes.get('class', '')} {attributes.get('id', '')}"
     role = attributes.get("role", "")
     article = name in ("article", "main") or role in ("main", "article") or attributes.get("itemprop") == "articlebody"
-    unseen = name in UNSEEN or "hidden" in rest.lower().split() or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "")
-    no_text = name in NOT_TEXT or role in ROLES or (not article and bool(MARKED.search(named)))
+    unseen = name in UNSEEN or ("hidden" in rest.lower() and "hidden" in _ATTRIBUTE.sub(" ", rest).lower().split()) or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "")
+    no_text = name in NOT_TEXT or role in ROLES or (not article and bool(MARKED.search(OWN_HEADER.sub(" ", named))))
     article = article or (name in ("div", "section", "td") and bool(ARTICLE_NAME.search(named)))
     return unseen, no_text, article
 
@@ -70,6 +74,9 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
     """The blocks of a page in order: text (blank at the edges of articles and marked elements), whether in the article, whether in an element marked as no text, characters outside links."""
     out: list[tuple[str, bool, bool, int]] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # name, unseen, no text, article
+    where: dict[str, list[int]] = defaultdict(list)  # of each name: its places in the stack
+    blocks: list[int] = []  # places of blocks that are no paragraphs
+    walls: list[int] = []  # places of what an inline end tag does not reach across
     words: list[str] = []
     plain = 0
     unseen = mute = deep = links = 0
@@ -90,7 +97,12 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
             mute -= no_text
             deep -= article
             links -= name == "a"
+            where[name].pop()
         del stack[k:]
+        while blocks and blocks[-1] >= k:
+            blocks.pop()
+        while walls and walls[-1] >= k:
+            walls.pop()
 
     while at < n:
         m = _TOKEN.match(page, at)
@@ -126,12 +138,9 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
                 close_block()
             peers = _PEERS.get(name)
             if peers:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in peers:
-                        leave(k)
-                        break
-                    if stack[k][0] in BLOCK and stack[k][0] not in ("p",):
-                        break
+                k = max(where[x][-1] if where[x] else -1 for x in peers)
+                if k >= 0 and (not blocks or k >= blocks[-1]):
+                    leave(k)
             hidden, no_text, article = _marks(name, rest)
             if no_text and not mute:
                 close_block()
@@ -139,26 +148,31 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
             if article and not deep:
                 close_block()
                 out.append(("", False, False, 0))
+            if article and name in ("article", "main"):  # a form around the article is no form of the page
+                for k in where["form"]:
+                    mute -= stack[k][2]
+                    stack[k] = ("form", stack[k][1], False, stack[k][3])
+            where[name].append(len(stack))
+            if name in BLOCK and name != "p":
+                blocks.append(len(stack))
+            if name in WALLS:
+                walls.append(len(stack))
             stack.append((name, hidden, no_text, article))
             unseen += hidden
             mute += no_text
             deep += article
             links += name == "a"
         else:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if name in BLOCK or any(x[2] or x[3] for x in stack[k:]):
-                        close_block()
-                    was = deep
-                    leave(k)
-                    if was and not deep:
-                        out.append(("", False, False, 0))
-                    break
-                if stack[k][0] in ("article", "main", "body", "td", "table") and name not in BLOCK:
-                    break
-            else:
-                if name in BLOCK:
+            k = where[name][-1] if where[name] else -1
+            if k >= 0 and (name in BLOCK or not walls or k > walls[-1]):
+                if name in BLOCK or any(x[2] or x[3] for x in stack[k:]):
                     close_block()
+                was = deep
+                leave(k)
+                if was and not deep:
+                    out.append(("", False, False, 0))
+            elif k < 0 and name in BLOCK:
+                close_block()
     close_block()
     return out
 
