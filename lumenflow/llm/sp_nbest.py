@@ -10,7 +10,11 @@ of marks and the characters up to the next), and the N best paths of a text are
 of its units. In the first backward steps of the search each unit gives its best path and how much
 the second costs; a path among the N best of a text can differ from the best one only in the N - 1
 units where that is least, so only these are searched for their own N best, and an agenda over
-choices merges them. Units repeat, so their answers stay in a bounded memo.
+choices merges them. Units repeat, so the answers of short ones stay in a memo of bounded bytes.
+
+Scores are those of the model file, whatever they were made for. Those of a BPE file are the ranks of
+its merges, so its best path here is the path of the best sum of ranks, not the merges' own result;
+only of a unigram file it is the model's own encoding.
 
 Text is taken as the model file says: no normalisation, a word mark in front, white space kept.
 Characters without a piece are byte pieces, as one edge, a penalty below the worst piece.
@@ -38,8 +42,10 @@ from pyspark.sql import functions as F
 from lumenflow.llm import common
 
 N_BEST = 4
-#: Units that a worker remembers at once.
-MEMO_UNITS = 800_000
+#: Bytes that a worker's memo of units may take, by a generous count of each entry.
+MEMO_BYTES = 320 << 20
+#: Longer units are not remembered.
+MEMO_CHARS = 100
 #: How far an unknown character is below the worst ordinary piece.
 PENALTY = 10.0
 #: Pieces at or below this score are reserved and don't set the worst.
@@ -84,6 +90,7 @@ class PieceLattice:
         self._unknown = worst - PENALTY
         self._memo: dict[str, tuple[float, bytes, float]] = {}
         self._paths: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
+        self._held = [0, 0]  # bytes in either
 
     def _forward(self, unit: str) -> tuple[list[float], list[list[tuple[int, float, bytes]]]]:
         """Best score of each prefix, and the edges (start, score, ids) into each position."""
@@ -162,9 +169,9 @@ class PieceLattice:
             for u in units:
                 got = memo.get(u)
                 if got is None:
-                    if len(memo) >= MEMO_UNITS:
-                        memo.clear()
-                    got = memo[u] = self._learn(u)
+                    got = self._learn(u)
+                    if len(u) <= MEMO_CHARS:
+                        self._remember(0, memo, u, got, 350 + 4 * len(u) + len(got[1]))
                 known.append(got)
         scores, ids, costs = zip(*known, strict=True)
         total = sum(scores)
@@ -195,11 +202,18 @@ class PieceLattice:
     def _unit_paths_memo(self, unit: str, n: int) -> list[tuple[float, bytes]]:
         got = self._paths.get((unit, n))
         if got is None:
-            if len(self._paths) >= MEMO_UNITS // 10:
-                self._paths.clear()
-            got = self._paths[(unit, n)] = self.unit_paths(unit, n)
+            got = self.unit_paths(unit, n)
+            if len(unit) <= MEMO_CHARS:
+                self._remember(1, self._paths, (unit, n), got, 400 + 4 * len(unit) + sum(150 + len(ids) for _, ids in got))
         return got
 
+    def _remember(self, which: int, memo: dict, key, value, size: int) -> None:
+        if self._held[which] + size > MEMO_BYTES // (1 if which == 0 else 4):
+            memo.clear()
+            self._held[which] = 0
+        memo[key] = value
+        self._held[which] += size
+
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.nbest(text, 1)[0][1], "<u4").tolist()
 
