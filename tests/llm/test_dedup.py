@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import helpers
 
@@ -44,6 +45,22 @@ def test_drop_copies(spark):
     assert len({r.text or "" for r in kept.collect()}) == kept.count() == len({t or "" for _, t in helpers.TEXTS})
 
 
+def test_drop_copies_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "t", "mine", "a", 4), (2, "t", "yours", "b", 5), (None, "t", None, None, 6), (None, None, "x", "y", 7)], "doc_id long, text string, _id string, sha string, `a.b` int")
+    kept = extendible_dedup.drop_copies(docs)
+    assert kept.schema == docs.schema and sorted((r.doc_id or -1, r.text, r._id, r.sha, r["a.b"]) for r in kept.collect()) == [(-1, None, "x", "y", 7), (2, "t", "yours", "b", 5)]
+
+
+def test_large_directories_are_quick():
+    began = time.process_time()
+    d = extendible_dedup.Directory({i << 2: 10 for i in range(1 << 16)}, 10)
+    assert d.buckets == 1 << 16 and time.process_time() - began < 10
+    sizes = {}
+    for slot in d.slots:
+        sizes[slot] = sizes.get(slot, 0) + 1
+    assert len(sizes) == d.buckets and d.slots[0] == 0
+
+
 def test_near_groups_cases(spark):
     got = tensor_minhash.near_groups(helpers.documents(spark), words=4).collect()
     assert len(got) == len(helpers.TEXTS)

@@ -1,5 +1,8 @@
+import math
+import random
 import re
 import textwrap
+import time
 from collections import Counter
 
 import helpers
@@ -33,6 +36,35 @@ def test_main_text_by_density():
     assert line_blocks.passages([40, 0, 50, 0, 0, 29, 0, 0, 85, 0, 0, 0, 0, 86]) == [(0, 5), (11, 14)]
 
 
+def test_passages_against_brute_force():
+    """A passage is a run of lines under windows of DIVE or more, one of which is SURGE or more."""
+    rng = random.Random(2)
+    for _ in range(300):
+        n = [rng.choice([0, 0, 5, 20, 60, 90]) for _ in range(rng.randint(0, 25))]
+        sums = [sum(n[i : i + 3]) for i in range(len(n))]
+        runs, lit = [], {i: max(sums[j] for j in range(max(0, i - 2), i + 1) if sums[j] >= 30) for i in range(len(n)) if any(sums[j] >= 30 for j in range(max(0, i - 2), i + 1))}
+        starts = [i for i in range(len(n)) if sums[i] >= 30]
+        for i in starts:  # windows that touch belong to one passage
+            if runs and i < runs[-1][1]:
+                runs[-1] = (runs[-1][0], min(i + 3, len(n)), max(runs[-1][2], sums[i]))
+            else:
+                runs.append((i, min(i + 3, len(n)), sums[i]))
+        assert line_blocks.passages(n) == [(s, e) for s, e, top in runs if top >= 86] and set(lit) == {i for s, e, _ in runs for i in range(s, e)}
+
+
+def test_attributes_headers_and_forms():
+    body = "This is a paragraph that is long enough to be text of an article, with many words in it."
+    page = f'<body><form><nav>Menu</nav><article><div class="article-header"><h1>Title</h1></div><p title="the hidden truth">{body}</p><p hidden>unseen</p><div class="ad">Buy</div><p>End.</p></article></form></body>'
+    assert line_blocks.main_text(page) == f"Title\n{body}\nEnd."
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20000 + "</b>" * 20000, "<b>" * 20000 + "<dt></dt>" * 20000, "<li><div>" + "<b>" * 20000 + "<li></li>" * 20000, "<b><td>" + "<div>" * 20000 + "</b>" * 20000])
+def test_hostile_pages_take_linear_time(page):
+    began = time.process_time()
+    line_blocks.main_text(page)
+    assert time.process_time() - began < 5
+
+
 def test_extract_cases(spark):
     rows = [(1, "u", "<p>a"), (1, "u", "<p>a"), (None, None, None)]
     got = line_blocks.extract(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS text")).collect()
@@ -59,6 +91,25 @@ def test_quality_rules_against_brute_force(spark):
     assert quality_llr.judge(docs.filter("false"), labels.filter("false")).count() == 0
 
 
+def test_quality_verdict_against_brute_force(spark, monkeypatch):
+    """Scores and threshold by plain arithmetic; hashes are Spark's."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefgh" if i < 30 else "qrstuvwxyz") + str(rng.randrange(40)) for _ in range(80)) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(20)] + [(i, 0) for i in range(40, 60)], "doc_id long, quality int")
+    hashes = docs.selectExpr("doc_id", "transform(split(text, ' '), x -> xxhash64(x)) AS u").selectExpr("doc_id", "u", "transform(sequence(1, size(u) - 1), i -> xxhash64(u[i - 1], u[i])) AS d").collect()
+    grams = {r.doc_id: [x % quality_llr.BUCKETS for x in [*r.u, *r.d]] for r in hashes}
+    target, raw = Counter(b for i in range(20) for b in grams[i]), Counter(b for g in grams.values() for b in g)
+    n, t, r = quality_llr.BUCKETS, sum(target.values()), sum(raw.values())
+    weight = {b: round(1000 * (math.log((target[b] + 1) / (t + n)) - math.log((raw[b] + 1) / (r + n)))) for b in raw}
+    score = {i: sum(weight[b] for b in g) / len(g) for i, g in grams.items()}
+    least = min(math.floor(100 * score[i]) for i in range(20))
+    got = {r.doc_id: r for r in quality_llr.judge(docs, labels).collect()}
+    for i in grams:
+        assert abs(got[i].score - score[i] / 1000) < 1e-9 and got[i].kept == (not got[i].base_failed and 100 * score[i] >= least)
+    assert all(got[i].kept for i in range(20)) and not any(got[i].kept for i in range(30, 60))
+
+
 def test_repeats_are_compared_by_words(spark):
     """The hashes of the first and last window of a text agree in the 44 bits that its length leaves of them."""
     filler = " ".join(f"w{i}" for i in range(600_000))
@@ -164,6 +215,18 @@ def test_nbest_against_all_paths():
         assert all(m.decode(i) == text for _, i in found)
 
 
+def test_memo_is_bounded_by_bytes(monkeypatch):
+    m = sp_nbest.PieceLattice(str(public_tokenizers.path("piece_bpe_32k.model")))
+    monkeypatch.setattr(sp_nbest, "MEMO_BYTES", 20_000)
+    first = m.nbest("word0 and more", 3)
+    for i in range(500):
+        m.nbest(f"word{i} {i * 7919} text", 3)
+        assert m._held[0] <= 20_000 and m._held[1] <= 5_000
+    before = len(m._memo)
+    m.nbest("x" * 5000, 3)
+    assert len(m._memo) == before and m.nbest("word0 and more", 3) == first
+
+
 def test_nbest_cases(spark):
     got = sp_nbest.segment(helpers.documents(spark), str(public_tokenizers.path("piece_bpe_32k.model")), keep_ids=True).collect()
     assert len(got) == len(helpers.TEXTS) and all(r.round_trip for r in got)
@@ -195,6 +258,19 @@ def test_base_spans(text):
     assert pii_boost.base_spans(text) == sorted(want, key=lambda x: (x[1], pii_boost.KINDS.index(x[0])))
 
 
+@pytest.mark.parametrize("text, kinds", [("see pages 415-555-2671 here", []), ("call 415-555-2671 now", ["phone"]), ("mail john at example dot com please", ["email"]), ("we met at home dot", []), ("jane.doe [at] example [dot] org", ["email"])])
+def test_candidates_are_judged_in_context(text, kinds):
+    assert [k for k, _, _ in pii_boost.find_spans(text, *pii_boost.model())[1]] == kinds
+
+
+def test_overlaps_are_found_at_any_number():
+    rng = random.Random(1)
+    for n in (3, 80):
+        base = [("card", s, s + rng.randint(1, 9)) for s in sorted(rng.sample(range(1000), n))]
+        more = [("phone", s, s + rng.randint(1, 9)) for s in rng.sample(range(1000), 300)]
+        assert pii_boost._apart(more, base) == [c for c in more if not any(c[1] < e and s < c[2] for _, s, e in base)]
+
+
 def test_added_spans_and_redaction(spark):
     trees, least = pii_boost.model()
     assert pii_boost.redact("call (415) 555-2671 or a@b.cd, 2024-01-15", trees, least) == "call [PHONE] or [EMAIL], 2024-01-15"
@@ -220,11 +296,54 @@ def test_packing(spark):
     t = Tokenizer.from_file(path)
     for text in ("don't  stop\n\n 12 é", helpers.LONG[:5000], "\x1c\x85 x", "a" * 9000):
         assert np.frombuffer(exact_packing.tokenizer(path).encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    for text in ("a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|"):
+        assert np.frombuffer(exact_packing.tokenizer(path).encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
     long = sorted((r.piece, r.start, r.length) for r in rows if r.doc_id == 8)
     assert all(n == 2048 for _, _, n in long[1:]) and [s for _, s, _ in long] == [sum(x[2] for x in long[:i]) for i in range(len(long))]
     assert exact_packing.pack(helpers.documents(spark, []), path).count() == 0
 
 
+def fewest(pieces, capacity):
+    """Least number of bins, by trying all places."""
+    pieces = sorted(pieces, reverse=True)
+    best = [len(pieces)]
+
+    def go(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(pieces):
+            best[0] = len(bins)
+            return
+        for k in {gap: k for k, gap in enumerate(bins) if gap >= pieces[i]}.values():
+            go(i + 1, [*bins[:k], bins[k] - pieces[i], *bins[k + 1 :]])
+        go(i + 1, [*bins, capacity - pieces[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_plans_of_small_histograms_against_brute_force():
+    rng = np.random.default_rng(5)
+    over = 0
+    for _ in range(150):
+        capacity = int(rng.integers(5, 40))
+        pieces = rng.integers(1, capacity + 1, int(rng.integers(1, 11))).tolist()
+        plan = exact_packing.plan(dict(Counter(pieces)), capacity)
+        assert sorted(x for lengths, k in plan for x in lengths * k) == sorted(pieces) and all(sum(lengths) <= capacity for lengths, _ in plan)
+        over += sum(k for _, k in plan) - fewest(pieces, capacity)
+    assert over <= 3
+
+
+def test_sums_index_against_brute_force():
+    left = np.zeros(41, dtype=np.int64)
+    left[[3, 5, 8, 11, 20, 31]] = 2
+    index, have = exact_packing.SumIndex(left), [3, 5, 8, 11, 20, 31]
+    for gap in range(1, 41):
+        assert index.single(gap) == [(x,) for x in have if x == gap]
+        assert sorted(index.pairs(gap)) == sorted((a, b) for a in have for b in have if a >= b and a + b == gap)
+        assert sorted({tuple(sorted(x)) for x in index.triples(gap)}) == sorted({tuple(sorted((a, b, c))) for a in have for b in have for c in have if a + b + c == gap})
+
+
 def test_plan_uses_each_piece_once():
     rng = np.random.default_rng(2)
     counts = Counter(int(x) for x in rng.integers(1, 2049, 5000))
