@@ -6,11 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Parts of up to nine digits, so that their sum in microseconds fits 64 bits.
-CLOCK = r"^(-?)(?:(?:(\d{1,9}):)?(\d{1,9}):)?(\d{1,9})(?:[.,](\d{1,6}))?$"
+CLOCK = r"(?s)^\s*(-?)(?:(?:\s*\+?(\d{1,9})\s*:)?\s*\+?(\d{1,9})\s*:)?\s*\+?(\d{1,9})\s*(?:[.,](\d{0,6}).*)?$"
 
 
 def clock_us(text: Column) -> Column:
-    """Microseconds of ``[-][[h:]m:]s[.,fraction]``; null where the text is no clock."""
+    """Microseconds of ``[-][[h:]m:]s[.,fraction]``; null where the text is no clock. Of the fraction six digits count."""
     part = lambda i: F.coalesce(F.nullif(F.regexp_extract(text, CLOCK, i), F.lit("")), F.lit("0"))
     whole = (part(2).cast("bigint") * 60 + part(3).cast("bigint")) * 60 + part(4).cast("bigint")
     us = whole * 1_000_000 + F.rpad(part(5), 6, "0").cast("bigint")

@@ -84,9 +84,21 @@ def codec_kind(codec: Column) -> Column:
     return F.when(codec.isin(*video), "video").when(codec.isin(*audio), "audio").when(codec.isin(*text), "subtitle")
 
 
+def after_id3(head: Column) -> Column:
+    """What follows an ID3v2 tag at the start; the whole where there is none, or nothing after it."""
+    byte = lambda i: F.conv(F.hex(F.substring(head, i, 1)), 16, 10).cast("int")
+    size = ((byte(7) * 128 + byte(8)) * 128 + byte(9)) * 128 + byte(10) + 10 + F.when(byte(6).bitwiseAND(16) != 0, 10).otherwise(0)
+    tagged = (F.substring(head, 1, 3) == F.lit(b"ID3")) & (F.length(head) >= 10)
+    rest = F.substring(head, size + 1, F.length(head))
+    return F.when(tagged & (F.length(rest) > 0), rest).otherwise(head)
+
+
 def sniff(head: Column) -> Column:
-    """Container by magic numbers at the start of a binary column; null if none is known."""
-    at = lambda i, n: F.substring(head, i, n)
+    """Container by content: magic numbers behind an ID3v2 tag, else the framed format of which three frames chain first; null if none is known."""
+    from lumenflow.functions.sniffing import framed
+
+    data = after_id3(head)
+    at = lambda i, n: F.substring(data, i, n)
     is_ = lambda c, text: c == F.lit(text.encode("latin-1"))
     return (
         F.when(is_(at(1, 4), "RIFF") & is_(at(9, 4), "WAVE"), "wav")
@@ -98,5 +110,5 @@ def sniff(head: Column) -> Column:
         .when(is_(at(5, 4), "ftyp"), "mp4")
         .when(is_(at(1, 8), "\x89PNG\r\n\x1a\n"), "png")
         .when(is_(at(1, 3), "\xff\xd8\xff"), "jpeg")
-        .when(is_(at(1, 3), "ID3"), "mp3")
+        .otherwise(framed(data))
     )

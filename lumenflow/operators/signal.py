@@ -3,9 +3,17 @@
 from __future__ import annotations
 
 import math
+import sys
 
+import numpy as np
+import pyarrow as pa
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import ArrayType, DoubleType
+
+register_pickle_by_value(sys.modules[__name__])  # workers need no copy of this package
 
 
 def _sum(a: Column) -> Column:
@@ -49,8 +57,18 @@ def vorbis_window(n: int) -> list[float]:
 
 
 def linear(a: Column, rows: list[list[float]]) -> Column:
-    """A matrix times the array; the matrix is a constant of the plan, so its size should be modest."""
-    return F.array(*(dot(a, F.array(*map(F.lit, r))) for r in rows))
+    """A matrix times the array, by batches in numpy; null for a null array, one of another length or with nulls."""
+    matrix = np.array(rows, dtype=np.float64)
+
+    @arrow_udf(ArrayType(DoubleType()))
+    def product(values: pa.Array) -> pa.Array:
+        lists = values.to_pylist()
+        good = [v is not None and len(v) == matrix.shape[1] and None not in v for v in lists]
+        out = np.array([v for v, ok in zip(lists, good, strict=True) if ok], dtype=np.float64).reshape(-1, matrix.shape[1]) @ matrix.T
+        found = iter(out.tolist())
+        return pa.array([next(found) if ok else None for ok in good], pa.list_(pa.float64()))
+
+    return product(a)
 
 
 def dft_rows(n: int) -> tuple[list[list[float]], list[list[float]]]:

@@ -83,10 +83,28 @@ def _mp3(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", headers.mpeg_audio(F.unhex(F.hex(word.cast("bigint")))).alias("h")).select("event_id", "h.kbps", "h.rate", "h.frame_bytes")
 
 
-@_query("checksums")
+def _checksums_sql() -> str:
+    """Table-driven checksums folded over the bytes of a text."""
+    lists = {"c8": checksums.table(0x07, 8), "c16": checksums.table(0x8005, 16), "ogg": checksums.table(0x04C11DB7, 32)}
+    zlib = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+        zlib.append(byte)
+    tables = ", ".join(f"{v}::BIGINT[] AS {k}" for k, v in (lists | {"z": zlib}).items())
+    fold = lambda start, step: f"list_reduce(list_prepend({start}::BIGINT, b), lambda v, x: {step})"
+    return f"""WITH t AS MATERIALIZED (SELECT {tables}),
+    d AS (SELECT doc_id, hex(encode(text)) AS h FROM documents),
+    e AS (SELECT doc_id, list_transform(range(1, CAST(length(h) // 2 + 1 AS BIGINT)), lambda i: CAST('0x' || substr(h, 2 * i - 1, 2) AS BIGINT)) AS b FROM d)
+    SELECT doc_id, xor({fold(4294967295, "xor(v >> 8, z[(xor(v, x) & 255) + 1])")}, 4294967295) AS crc32, {fold(0, "c8[xor(v, x) + 1]")} AS crc8, {fold(0, "xor((v << 8) & 65535, c16[xor(v >> 8, x) + 1])")} AS crc16,
+    {fold(0, "xor((v << 8) & 4294967295, ogg[xor(v >> 24, x) + 1])")} AS ogg_crc32,
+    CAST((1 + list_sum(b)) % 65521 + 65536 * ((len(b) + list_sum(list_transform(b, lambda x, i: x * (len(b) - i + 1)))) % 65521) AS BIGINT) AS adler32 FROM e, t"""
+
+
+@_query("checksums", _checksums_sql())
 def _checksums(spark, sf_dir):
     data = F.col("text").cast("binary")
-    return _table(spark, sf_dir, "benchmark").select("item_id", F.crc32(data).alias("crc32"), checksums.crc8(data).alias("crc8"), checksums.crc16(data).alias("crc16"), checksums.ogg_crc32(data).alias("ogg_crc32"), checksums.adler32(data).alias("adler32"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.crc32(data).alias("crc32"), checksums.crc8(data).alias("crc8"), checksums.crc16(data).alias("crc16"), checksums.ogg_crc32(data).alias("ogg_crc32"), checksums.adler32(data).alias("adler32"))
 
 
 # Containers, clusters, pictures ---------------------------------------------------------------
@@ -156,5 +174,5 @@ def _stream(spark, sf_dir):
     hour = timebase.micros("ts")
     e = streams.packet_source(spark, sf_dir, schema, "events.parquet").select("event_type", F.timestamp_micros(hour).alias("at"))
     out = streams.window_counts(e, "at", ["event_type"], "1 hour", "1 day")
-    done = streams.drain(out, _shared(spark, "windows"), _shared(spark, "windows-log"), "complete")
+    done = streams.drain(out, _shared(spark, "windows"), _shared(spark, "windows-log"), "update", ["start", "event_type"])
     return done.select(F.floor(F.unix_micros("start") / 3_600_000_000).alias("hour"), "event_type", "packets")

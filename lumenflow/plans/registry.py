@@ -147,10 +147,23 @@ def _frame_rate(spark, sf_dir):
     return s.select("l_orderkey", num.alias("num"), den.alias("den"))
 
 
-@_query("track_span", f"WITH {_PACKETS} SELECT user_id, max(pos) - min(pos) AS span, count(*) AS packets, count(k) AS syncs FROM p GROUP BY user_id")
+@_query(
+    "track_span",
+    f"""WITH {_PACKETS}, d AS (SELECT user_id, pos, k, greatest(coalesce(lead(pos) OVER w - pos, pos - lag(pos) OVER w, 0), 0) AS duration FROM p WINDOW w AS (PARTITION BY user_id ORDER BY pos))
+    SELECT user_id, CAST(max(pos) + arg_max(duration, pos) - min(pos) AS BIGINT) AS span, count(*) AS packets, count(k) AS syncs FROM d GROUP BY user_id""",
+)
 def _track_span(spark, sf_dir):
-    p = _packets(spark, sf_dir)
-    return p.groupBy("user_id").agg((F.max("pos") - F.min("pos")).alias("span"), F.count("*").alias("packets"), F.count_if(_sync()).alias("syncs"))
+    p = timeline.durations(_packets(spark, sf_dir), "user_id", "pos")
+    return p.groupBy("user_id").agg((F.max("pos") + F.max_by("duration", "pos") - F.min("pos")).alias("span"), F.count("*").alias("packets"), F.count_if(_sync()).alias("syncs"))
+
+
+@_query(
+    "seek_sample",
+    f"""WITH {_PACKETS}, a AS (SELECT event_id, user_id, pos, max(k) {_UPTO} AS back, max(struct_pack(pos := pos, id := event_id, sync := event_type = 'purchase')) {_UPTO} AS h, min(k) {_FROM.format('1 FOLLOWING')} AS forth, min(pos) OVER (PARTITION BY user_id) AS low, max(pos) OVER (PARTITION BY user_id) AS high FROM p)
+    SELECT event_id, coalesce(back, low) AS before, CASE WHEN h.sync THEN h.pos ELSE coalesce(forth, high) END AS after FROM a""",
+)
+def _seek_sample(spark, sf_dir):
+    return timeline.seek_sample(_packets(spark, sf_dir), "user_id", "pos", "event_id", _sync()).select("event_id", "before", "after")
 
 
 # Pictures, colour, packets --------------------------------------------------------------------
@@ -204,10 +217,24 @@ def _md5(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("md5"), F.length("text").cast("bigint").alias("chars"))
 
 
-@_query("sniff_magic", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'wav' WHEN 1 THEN 'flac' WHEN 2 THEN 'ogg' WHEN 3 THEN 'mp4' WHEN 4 THEN 'mp3' END AS container FROM events")
+#: Heads of files, and what they are.
+_HEADS = (
+    (b"RIFF....WAVEfmt ", "wav"),
+    (b"fLaC....", "flac"),
+    (b"OggS....", "ogg"),
+    (b"....ftypisom", "mp4"),
+    (b"nothing.", None),
+    (b"ID3\x04\0\0\0\0\0\x04....fLaC....", "flac"),
+    (b"ID3\x04\0\0\0\0\0\x02.." + 3 * (bytes.fromhex("fff15080014000") + bytes(3)), "adts"),
+    (b"x" + 3 * (bytes.fromhex("fffb1000") + bytes(100)), "mp3"),
+    (bytes.fromhex("fffb1000") + bytes(300), None),
+    (bytes.fromhex("1a45dfa3") + b"....", "matroska"),
+)
+
+
+@_query("sniff_magic", f"SELECT event_id, CASE event_id % {len(_HEADS)} " + " ".join(f"WHEN {i} THEN '{kind}'" for i, (_, kind) in enumerate(_HEADS) if kind) + " END AS container FROM events")
 def _sniff(spark, sf_dir):
-    heads = ("RIFF....WAVEfmt ", "fLaC....", "OggS....", "....ftypisom", "ID3.....", "nothing.")
-    head = F.element_at(F.array(*map(F.lit, heads)), (F.col("event_id") % 6 + 1).cast("int")).cast("binary")
+    head = F.element_at(F.array(*(F.lit(h) for h, _ in _HEADS)), (F.col("event_id") % len(_HEADS) + 1).cast("int"))
     return _table(spark, sf_dir, "events").select("event_id", media.sniff(head).alias("container"))
 
 

@@ -61,13 +61,19 @@ def reorder(packets: DataFrame, stream: str, pos: str, most: int) -> DataFrame:
     return two.groupBy(stream).applyInPandasWithState(run, f"{stream} {kind}, {pos} bigint, late boolean", "waiting array<bigint>, gone bigint", "append", GroupStateTimeout.NoTimeout)
 
 
-def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what there is and read back what it wrote; a complete result replaces the last one."""
+def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """Run a stream over what there is and read back what it wrote.
+
+    In ``update`` mode each batch writes only the rows that changed, under its own number (a batch that
+    is run again replaces its rows), and of rows with equal ``keys`` the last batch's counts.
+    """
     spark = stream.sparkSession
     schema = stream.schema
-    if mode == "complete":
-        writer = stream.writeStream.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path))
+    if mode == "update":
+        writer = stream.writeStream.outputMode(mode).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}"))
         writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    else:
-        stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        rest = [c for c in schema.names if c not in keys]
+        rows = spark.read.schema(schema.add("batch", "long")).parquet(path)
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last")).select(*keys, "last.*")
+    stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(schema).parquet(path)
