@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -91,10 +93,6 @@ def nv12_chroma(u: Column, v: Column) -> Column:
 
 def fixed_residual(samples: Column, order: int) -> Column:
     """What a fixed predictor of ``order`` 0 to 4 leaves of integer samples, behind the first ``order`` samples as they are."""
-    def differences(a: Column, kept: int) -> Column:
-        return F.transform(a, lambda x, i: F.when(i > kept, x - F.get(a, i - 1)).otherwise(x))
-
-    out = samples
-    for done in range(order):  # the first ``done`` values are as they were
-        out = differences(out, done)
-    return F.transform(samples, lambda x, i: F.when(i < order, x).otherwise(F.get(out, i)))
+    terms = [(-1) ** j * math.comb(order, j) for j in range(order + 1)]
+    at = lambda i: sum((F.get(samples, i - j) * t for j, t in enumerate(terms) if j), F.get(samples, i) * terms[0])
+    return F.transform(samples, lambda x, i: F.when(i < order, x).otherwise(at(i)))

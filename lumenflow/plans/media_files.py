@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenflow.functions import checksums, headers, timebase
 from lumenflow.operators import clusters, signal, subtitles, timeline
+from lumenflow.plans import tracks
 from lumenflow.plans.registry import _PACKETS, _packets, _query, _table
 from lumenflow.sources import containers
 from lumenflow.streaming import packets as streams
@@ -113,9 +114,59 @@ def _checksums(spark, sf_dir):
 @_query("wav_round_trip", "WITH u AS (SELECT vec_id, unnest(embedding) AS v, unnest(range(64)) AS i FROM embeddings) SELECT vec_id, CAST(i AS INT) AS i, CAST(floor(greatest(-1, least(1, CAST(v AS DOUBLE))) * 32767 + 0.5) AS INT) AS sample FROM u")
 def _wav(spark, sf_dir):
     files = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("path"), containers.wav_writer(48000)(F.col("embedding")).alias("content"))
-    chunks = containers.scan(files, "riff").filter("id = 'data'")
-    found = chunks.join(files, "path").select(F.col("path").cast("bigint").alias("vec_id"), containers.samples_16(F.expr("substring(content, cast(at + 1 as int), cast(size as int))")).alias("s"))
-    return found.select("vec_id", F.posexplode("s").alias("i", "sample"))
+    found = containers.read_wav(files).select(F.col("path").cast("bigint").alias("vec_id"), F.posexplode("samples").alias("i", "v"))
+    return found.select("vec_id", "i", (F.col("v") * 32768).cast("int").alias("sample"))
+
+
+_WAV = list(containers.WAV_FORMATS)
+
+
+@_query(
+    "wav_formats",
+    """WITH u AS (SELECT vec_id, unnest(embedding) AS e, unnest(range(64)) AS i FROM embeddings), v AS (SELECT vec_id, i, e, greatest(-1, least(1, CAST(e AS DOUBLE))) AS x FROM u)
+    SELECT vec_id, CAST(i AS INT) AS i, round(CASE vec_id % 5 WHEN 0 THEN floor(x * 127 + 0.5) / 128 WHEN 1 THEN floor(x * 32767 + 0.5) / 32768 WHEN 2 THEN floor(x * 8388607 + 0.5) / 8388608 WHEN 3 THEN floor(x * 2147483647 + 0.5) / 2147483648 ELSE CAST(e AS DOUBLE) END, 8) + 0.0 AS value FROM v""",
+)
+def _wav_formats(spark, sf_dir):
+    e, k = _table(spark, sf_dir, "embeddings"), F.col("vec_id") % len(_WAV)
+    files = None
+    for i, fmt in enumerate(_WAV):
+        part = e.filter(k == i).select(F.col("vec_id").cast("string").alias("path"), containers.wav_writer(48000, 2, fmt)(F.col("embedding")).alias("content"))
+        files = part if files is None else files.unionAll(part)
+    found = containers.read_wav(files).select(F.col("path").cast("bigint").alias("vec_id"), F.posexplode("samples").alias("i", "v"))
+    return found.select("vec_id", "i", (F.round("v", 8) + 0.0).alias("value"))
+
+
+@_query(
+    "mp4_sample_index",
+    f"""WITH {tracks._S}, a AS (SELECT track, n, q, CAST(p % 50 + 1 AS BIGINT) AS d, CASE WHEN track % 3 = 0 THEN 0 ELSE p % 9 - 3 * (track % 2) END AS c FROM s)
+    SELECT track, n - 1 AS sample, q AS size, d AS duration, CAST(coalesce(sum(d) {tracks._BEFORE}, 0) AS BIGINT) AS dts, CAST(coalesce(sum(d) {tracks._BEFORE}, 0) + c AS BIGINT) AS cts, CAST(coalesce(sum(q) {tracks._BEFORE}, 0) AS BIGINT) AS at, track % 5 = 0 OR n % 4 = 1 AS sync FROM a""",
+)
+def _mp4_index(spark, sf_dir):
+    t, n, p = F.col("track"), F.col("n"), F.col("p")
+    shift = F.when(t % 3 == 0, 0).otherwise(p % 9 - 3 * (t % 2))
+    sample = F.struct("n", F.col("q").alias("size"), (p % 50 + 1).alias("duration"), shift.alias("shift"), ((t % 5 == 0) | (n % 4 == 1)).alias("sync"))
+    files = tracks._samples(spark, sf_dir).groupBy("track").agg(F.sort_array(F.collect_list(sample)).alias("samples"))
+    files = files.select(F.col("track").cast("string").alias("path"), containers.mp4_writer(F.col("samples")).alias("content"))
+    rows = containers.scan(files, "mp4_samples")
+    first = F.min("at").over(timeline.Window.partitionBy("path"))
+    return rows.select(F.col("path").cast("bigint").alias("track"), "sample", "size", "duration", "dts", "cts", (F.col("at") - first).alias("at"), "sync")
+
+
+@_query("matroska_frames", f"WITH {tracks._S} SELECT track AS path, p % 3 + 1 AS track, n * 700 AS time, n % 4 = 1 AS key, q AS size FROM s")
+def _matroska(spark, sf_dir):
+    n, p = F.col("n"), F.col("p")
+    frame = F.struct("n", (p % 3 + 1).alias("track"), (n * 700).alias("time"), (n % 4 == 1).alias("key"), F.repeat(F.lit("x"), F.col("q").cast("int")).cast("binary").alias("data"))
+    files = tracks._samples(spark, sf_dir).groupBy("track").agg(F.sort_array(F.collect_list(frame)).alias("frames"))
+    files = files.select(F.col("track").cast("string").alias("path"), containers.matroska_writer(F.col("frames")).alias("content"))
+    return containers.scan(files, "matroska_frames").select(F.col("path").cast("bigint").alias("path"), "track", "time", "key", "size")
+
+
+@_query("ogg_packets", "WITH t AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS packet FROM conversations WHERE text IS NOT NULL) SELECT conv_id, CAST(packet AS BIGINT) AS packet, CAST(strlen(text) * 7 AS BIGINT) AS size FROM t")
+def _ogg(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations").filter("text IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    packets = F.transform("t", lambda x: F.repeat(x["text"], 7).cast("binary"))
+    files = turns.select(F.col("conv_id").cast("string").alias("path"), containers.ogg_writer(packets).alias("content"))
+    return containers.scan(files, "ogg_packets").select(F.col("path").cast("bigint").alias("conv_id"), "packet", "size")
 
 
 @_query(

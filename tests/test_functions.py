@@ -71,3 +71,30 @@ def test_ratio(spark):
     assert list(one(spark, num, den)) == [30000, 1001]
     num, den = timeline.reduced_ratio(F.lit(5), F.lit(0))
     assert one(spark, den)[0] is None and math.isclose(one(spark, num)[0], 1)
+
+
+def test_bounds_and_exact_ratios(spark):
+    from lumenflow.functions import cues, labels, timebase
+    from lumenflow.operators import timeline
+
+    big = (1 << 62) + 1
+    num, den = timeline.reduced_ratio(F.lit((1 << 53) + 1), F.lit(1))
+    row = spark.range(1).select(
+        timebase.rescale(F.lit(big), (1, 1), (1, 1000)).alias("most"),
+        timebase.rescale(F.lit(-big), (1, 1), (1, 1000)).alias("least"),
+        timebase.checked_rescale(F.lit(big), (1, 1), (1, 1000)).alias("none"),
+        num.alias("num"),
+        den.alias("den"),
+        cues.clock_us(F.lit(" 01:02:03.1234567 x")).alias("clock"),
+        cues.clock_us(F.lit("1:2:3:4")).alias("no_clock"),
+        labels.language(F.lit("fra"), F.lit(None).cast("string")).alias("legacy"),
+    ).first()
+    assert tuple(row) == ((1 << 63) - 1, -(1 << 63), None, (1 << 53) + 1, 1, 3_723_123_456, None, "fra")
+
+
+def test_columns_of_any_name_stay(spark):
+    from lumenflow.operators import timeline
+
+    rows = spark.createDataFrame([(1, 5, "a", 9), (1, 6, "b", 9), (2, 7, "c", 8)], "s int, at long, n string, changed int")
+    assert sorted(map(tuple, timeline.default_stream(rows, ["s"], F.col("n") == "b", "at").collect())) == [(1, 6, "b", 9), (2, 7, "c", 8)]
+    assert sorted(map(tuple, timeline.run_lengths(rows, "s", ["at"], "changed").collect())) == [(1, 1, 9, 2), (2, 1, 8, 1)]
