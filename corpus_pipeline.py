@@ -1,7 +1,12 @@
 """The corpus pipeline: quality, exact copies, near copies, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir). ``run`` writes what a stage returns as Parquet to the shared
-folder and gives the next stage that table. All stages but the last return the columns of documents.
+folder and gives the next stage that table. All stages but the last return the columns of documents,
+whatever else the table has.
+
+Null texts count as empty and null ids as ids below all others (in ``near_copies`` as the last
+choice). Rows that repeat an id are documents of their own unless their texts are copies too. An
+empty table passes every stage.
 """
 
 from __future__ import annotations
