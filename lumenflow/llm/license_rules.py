@@ -24,7 +24,28 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_GPL = "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"
+#: The licences of one family of notices: (identifier, name in the notice, versions).
+FAMILIES = (("gpl", "general", ("2", "3")), ("lgpl", "lesser general", ("2.1", "3")), ("lgpl", "library general", ("2",)), ("agpl", "affero general", ("3",)))
+#: Identifiers that a line ``SPDX-License-Identifier:`` names.
+SPDX = ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "0BSD", "Unlicense", "BSL-1.0", "MPL-2.0", "EPL-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")
+#: The GNU licences there: families, versions and tails.
+SPDX_GNU = tuple(f"{f}-{v}{tail}" for f, versions in (("GPL", ("1.0", "2.0", "3.0")), ("LGPL", ("2.0", "2.1", "3.0")), ("AGPL", ("3.0",))) for v in versions for tail in ("-or-later", "-only", ""))
+
+
+def _words(s: str) -> str:
+    """A sentence as the scan normalises it."""
+    return re.sub(r"[^a-z0-9.]+", " ", s.lower()).strip()
+
+
+def _gnu(head: str, kind: str) -> str:
+    return f"this {head} is free software you can redistribute it and or modify it under the terms of the gnu {kind} public license"
+
+
+def _version(v: str) -> str:
+    return v if "." in v else f"{v}.0"
+
+
+_HEADS = ("program", "library")
 #: Known licence sentences, normalised: (identifier, kind of match, sentence).
 SENTENCES = (
     ("mit_grant", "is", "released under the mit license"),
@@ -42,15 +63,29 @@ SENTENCES = (
     ("apache2_see", "starts", "see the license for the specific language governing permissions"),
     ("gpl3_grant", "is", "this work is licensed under the gnu general public license version 3"),
     ("gpl2_grant", "is", "this work is licensed under the gnu general public license version 2"),
-    *((f"gpl{v}_free", "starts", f"{_GPL} as published by the free software foundation either version {v} of the license or at your option any later version") for v in (2, 3)),
-    *((f"gpl{v}_only", "starts", f"{_GPL} {x}") for v in (2, 3) for x in (f"as published by the free software foundation version {v} of the license", f"version {v} as published by the free software foundation")),
-    ("gpl_free", "starts", _GPL),
-    ("gpl_warranty", "starts", "this program is distributed in the hope that it will be useful"),
-    ("gpl_see", "starts", "see the gnu general public license for more details"),
-    ("gpl_copy", "starts", "you should have received a copy of the gnu general public license"),
+    *((f"{f}{v}_free", "starts", f"{_gnu(h, kind)} as published by the free software foundation either version {v} of the license or at your option any later version") for f, kind, versions in FAMILIES for v in versions for h in _HEADS),
+    *((f"{f}{v}_only", "starts", f"{_gnu(h, kind)} {x}") for f, kind, versions in FAMILIES for v in versions for h in _HEADS for x in (f"as published by the free software foundation version {v} of the license", f"version {v} as published by the free software foundation")),
+    ("gpl_free", "starts", _gnu("program", "general")),
+    *(("gpl_warranty", "starts", f"this {h} is distributed in the hope that it will be useful") for h in _HEADS),
+    *((f"{f}_see", "starts", f"see the gnu {kind} public license for more details") for f, kind, _ in FAMILIES),
+    *((f"{f}_copy", "starts", f"you should have received a copy of the gnu {kind} public license") for f, kind, _ in FAMILIES),
     ("gpl_write", "starts", "if not write to the free software foundation"),
     ("gpl_write", "starts", "if not see http www.gnu.org licenses"),
     ("gpl_write", "starts", "if not see https www.gnu.org licenses"),
+    ("mpl2_grant", "starts", "this source code form is subject to the terms of the mozilla public license"),
+    ("epl2_grant", "starts", "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0"),
+    ("epl2_grant", "starts", "this program and the accompanying materials are made available under the terms of the eclipse public license v2.0"),
+    ("isc_grant", "starts", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc_grant", "starts", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("0bsd_grant", "is", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc_as_is", "starts", "the software is provided as is and the author disclaims all warranties"),
+    ("zlib_as_is", "starts", "this software is provided as is without any express or implied warranty"),
+    ("zlib_grant", "starts", "permission is granted to anyone to use this software for any purpose including commercial applications"),
+    ("unlicense", "starts", "this is free and unencumbered software released into the public domain"),
+    ("boost_grant", "starts", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("boost_notice", "starts", "the copyright notices in the software and this entire statement"),
+    ("boost_short", "starts", "distributed under the boost software license version 1.0"),
+    *((f"spdx_{x}", "is", f"spdx license identifier {_words(x)}") for x in (*SPDX, *SPDX_GNU)),
     ("bsd_grant", "starts", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("bsd_source", "starts", "redistributions of source code must retain the above copyright notice"),
     ("bsd_binary", "starts", "redistributions in binary form must reproduce the above copyright notice"),
@@ -70,7 +105,22 @@ RULES = (
     ("Apache-2.0", "apache2_grant,apache2_use,apache2_copy,apache2_warranty,apache2_see"),
     ("Apache-2.0", "apache2_grant,apache2_use,apache2_copy,apache2_warranty"),
     *((name, f"{head}bsd_grant,bsd_source,bsd_binary{names}{tail}") for name, names in (("BSD-3-Clause", ",bsd_names"), ("BSD-2-Clause", "")) for tail in (",bsd_as_is,bsd_liability", ",bsd_as_is", "") for head in ("reserved,", "")),
-    *((name, f"{free},gpl_warranty{tail}") for name, free in (("GPL-2.0-or-later", "gpl2_free"), ("GPL-3.0-or-later", "gpl3_free"), ("GPL-2.0", "gpl2_only"), ("GPL-3.0", "gpl3_only"), ("GPL-1.0-or-later", "gpl_free")) for tail in (",gpl_see,gpl_copy,gpl_write", ",gpl_see,gpl_copy", ",gpl_copy,gpl_write", ",gpl_copy")),
+    *(
+        (f"{f.upper()}-{_version(v)}{later}", f"{f}{v}_{kind},gpl_warranty{tail}")
+        for f, v in dict.fromkeys((f, v) for f, _, versions in FAMILIES for v in versions)
+        for kind, later in (("free", "-or-later"), ("only", ""))
+        for tail in (f",{f}_see,{f}_copy,gpl_write", f",{f}_see,{f}_copy", f",{f}_copy,gpl_write", f",{f}_copy")
+    ),
+    *(("GPL-1.0-or-later", f"gpl_free,gpl_warranty{tail}") for tail in (",gpl_see,gpl_copy,gpl_write", ",gpl_see,gpl_copy", ",gpl_copy,gpl_write", ",gpl_copy")),
+    ("MPL-2.0", "mpl2_grant"),
+    ("EPL-2.0", "epl2_grant"),
+    ("ISC", "isc_grant,isc_as_is"),
+    ("0BSD", "0bsd_grant,isc_as_is"),
+    ("Zlib", "zlib_as_is,zlib_grant"),
+    ("Unlicense", "unlicense"),
+    ("BSL-1.0", "boost_grant,boost_notice,as_is"),
+    ("BSL-1.0", "boost_short"),
+    *((x.removesuffix("-only"), f"spdx_{x}") for x in (*SPDX, *SPDX_GNU)),
     ("GPL-3.0", "gpl3_grant"),
     ("GPL-2.0", "gpl2_grant"),
     ("Apache-2.0", "apache2_grant"),
@@ -82,12 +132,28 @@ RULES = (
     ("Proprietary", "reserved"),
 )
 #: A sentence with one of these, known or not, is licence talk; texts without any are not cut up.
-TALK = r"(?i)licen[sc]|copyright|rights reserved|warrant|redistribut|permission is|permission notice|free software|general public|hope that it|neither the name"
+TALK = r"(?i)licen[sc]|copyright|rights reserved|warrant|redistribut|permission is|permission notice|free software|general public|hope that it|neither the name|hereby granted|unencumbered software"
 _GAP = r"[^\p{L}\p{N}.]"
 _NO_WORD = r"[^\p{L}\p{N}]"
-_ANY = "|".join(f"{_GAP}{{1,20}}".join(map(re.escape, t.split())) for _, _, t in SENTENCES)
-_SHORT = "|".join(f"{_GAP}{{1,4}}".join(map(re.escape, t.split())) for _, kind, t in SENTENCES if kind == "is")
-_LONG = "|".join(f"{_GAP}{{1,20}}".join(map(re.escape, t.split())) for _, kind, t in SENTENCES if kind == "starts" and len(t.split()) > 5)
+
+
+def _either(sentences: list[list[str]], gap: str, whole: bool) -> str:
+    """A pattern for any of some sentences, common starts written once; ``whole`` says whether what follows a shorter one is matched too."""
+    tails: dict[str, list[list[str]]] = {}
+    for first, *rest in sentences:
+        tails.setdefault(first, []).append(rest)
+    out = []
+    for first, rests in tails.items():
+        more, ends = [r for r in rests if r], [] in rests
+        tail = f"{gap}{_either(more, gap, whole)}" if more and (whole or not ends) else ""
+        out.append(re.escape(first) + (f"(?:{tail})?" if tail and ends else tail))
+    return out[0] if len(out) == 1 else f"(?:{'|'.join(out)})"
+
+
+_CUT = [(kind, t.split()) for _, kind, t in SENTENCES]
+_ANY = _either([w for _, w in _CUT], f"{_GAP}{{1,20}}", False)
+_SHORT = _either([w for kind, w in _CUT if kind == "is"], f"{_GAP}{{1,4}}", True)
+_LONG = _either([w for kind, w in _CUT if kind == "starts" and len(w) > 5], f"{_GAP}{{1,20}}", False)
 _BULLET = rf"(?:\(?[0-9a-z]{{1,3}}[.)]{_NO_WORD}{{1,20}})?"
 #: Sentences end before a known one on a new line or behind a colon or semicolon, before a known one of six
 #: words and more anywhere; behind a short known one at a line feed or semicolon; at blank lines (not before

@@ -175,6 +175,38 @@ Redistribution and use in source and binary forms, with or without modification,
 
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
 }
+_LESSER = """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.
+
+You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA"""
+_AFFERO = NOTICES["GPL-3.0-or-later"].replace("General", "Affero General")
+_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS."""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software.
+
+3. This notice may not be removed or altered from any source distribution."""
+_MOZILLA = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+#: Notices without a heading or a line of the holder.
+BARE = {
+    "LGPL-2.1-or-later": _LESSER,
+    "LGPL-2.0-or-later": _LESSER.replace("Lesser", "Library").replace("2.1", "2"),
+    "LGPL-3.0-or-later": _AFFERO.replace("Affero", "Lesser").split("\n\n", 1)[1],
+    "AGPL-3.0-or-later": _AFFERO.split("\n\n", 1)[1],
+    "AGPL-3.0": _AFFERO.replace("either version 3 of the License, or (at your option) any later version", "version 3 of the License").split("\n\n", 1)[1],
+    "ISC": _ISC,
+    "0BSD": _ISC.replace(", provided that the above copyright notice and this permission notice appear in all copies", ""),
+    "Zlib": _ZLIB,
+    "MPL-2.0": _MOZILLA,
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt)",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+}
 NOTICES["BSD-2-Clause"] = re.sub(r"3\. Neither.*?\n\n", "", NOTICES["BSD-3-Clause"], flags=re.S)
 
 
@@ -193,6 +225,21 @@ def test_license_notices(spark):
     assert {name: (r.sequence.count("unknown"), r.n_unmatched) for name, r in whole.items()} == {name: (1 + (name == "MIT"),) * 2 for name in NOTICES}  # the heading and the line of the holder
 
 
+def test_license_notices_of_other_families(spark):
+    cases = []
+    for name, text in BARE.items():
+        for width in (50, 79, 10_000):
+            wrapped = "\n\n".join("\n".join(textwrap.wrap(x, width, break_long_words=False)) for x in text.split("\n\n"))
+            cases += [(name, wrapped), (name, "\n".join(f"# {x}".rstrip() for x in wrapped.split("\n"))), (name, f"Some text.\n\n{wrapped}\n\nOther text.")]
+    spdx = {"MIT": "MIT", "GPL-2.0-only": "GPL-2.0", "GPL-2.0": "GPL-2.0", "GPL-3.0-or-later": "GPL-3.0-or-later", "LGPL-2.1-or-later": "LGPL-2.1-or-later", "BSD-3-Clause": "BSD-3-Clause", "0BSD": "0BSD", "MIT OR Apache-2.0": "unknown", "Foo-1.0": "unknown", "MIT-0": "unknown"}
+    for said, name in spdx.items():
+        cases += [(name, f"SPDX-License-Identifier: {said}"), (name, f"// SPDX-License-Identifier: {said}\nimport os\n"), (name, f"#!/bin/sh\n/* SPDX-License-Identifier: {said} */\n\nint x;")]
+    cases += [("none", "They were hereby gone to the public domain.")]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_rules.licenses(docs).collect()}
+    assert [(cases[i], got[i].verdict, got[i].sequence) for i, (name, _) in enumerate(cases) if got[i].verdict != name] == []
+
+
 def test_nbest_against_all_paths():
     m = sp_nbest.lattice(str(public_tokenizers.path("piece_bpe_32k.model")))
 
