@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from lumenflow.plans import media_files, registry, tracks  # noqa: F401
+from lumenflow.plans import media_files, metadata, registry, tracks  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
