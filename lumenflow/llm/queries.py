@@ -72,6 +72,17 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op4_license_scan": license_rules.oracle_sql(),
+    "op6_minhash_near_dedup": """
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+             s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END)) AS items FROM w),
+             c AS MATERIALIZED (SELECT min(doc_id) AS c, items, len(items) AS n FROM s WHERE len(items) > 0 GROUP BY items),
+             u AS MATERIALIZED (SELECT c, n, unnest(items) AS item FROM c),
+             l AS MATERIALIZED (SELECT a.c AS a, b.c AS b FROM u a JOIN u b ON a.item = b.item AND a.c < b.c AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+             e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+             r AS (SELECT c AS a, c AS b FROM c UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+             m AS (SELECT a AS c, min(b) AS component_id FROM r GROUP BY a),
+             k AS (SELECT items, component_id FROM c JOIN m USING (c))
+        SELECT doc_id, CAST(len(s.items) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept FROM s LEFT JOIN k ON s.items = k.items""",
     "op9_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
              d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest FROM p),
