@@ -27,3 +27,48 @@ def field(word: Column, shift: int, bits: int) -> Column:
 def pick(index: Column, values: list) -> Column:
     """The value at a number from 0; null beyond the list."""
     return F.get(F.array(*map(F.lit, values)), index.cast("int"))
+
+
+def bit_string(data: Column) -> Column:
+    """The bits of some bytes as zeros and ones."""
+    byte = lambda i: F.lpad(F.conv(F.hex(F.substring(data, i, 1)), 16, 2), 8, "0")
+    return F.when(F.length(data) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(data)), byte), "")).otherwise(F.when(data.isNotNull(), ""))
+
+
+def packed(bits: Column) -> Column:
+    """Zeros and ones as bytes, the last filled up with zeros."""
+    byte = lambda i: F.lpad(F.conv(F.rpad(F.substring(bits, i, 8), 8, "0"), 2, 16), 2, "0")
+    return F.unhex(F.when(F.length(bits) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(bits), F.lit(8)), byte), "")).otherwise(F.when(bits.isNotNull(), "")))
+
+
+def code(value: Column) -> Column:
+    """The exponential Golomb code of a number below 2**32 - 1 as zeros and ones; null for others."""
+    digits = F.bin(value + 1)
+    return F.when(value.between(0, (1 << 32) - 2), F.concat(F.repeat(F.lit("0"), F.length(digits) - 1), digits))
+
+
+def signed_code(value: Column) -> Column:
+    """The code of a signed number: positive ones are odd."""
+    value = value.cast("bigint")
+    return code(F.when(value > 0, 2 * value - 1).otherwise(-2 * value))
+
+
+def codes(bits: Column, n: int) -> Column:
+    """``values``, the first ``n`` code numbers, and ``used``, the bits they take. From the first that is cut short or has 32 zeros on, values and ``used`` are null."""
+
+    def step(state: Column, _: Column) -> Column:
+        rest = F.substring(bits, state["used"] + 1, F.lit(64))
+        zeros = F.length(F.regexp_extract(rest, "^0*", 0))
+        whole = (state["used"] >= 0) & (zeros <= 31) & (F.length(rest) >= 2 * zeros + 1)
+        value = F.when(whole, F.conv(F.substring(rest, zeros + 1, zeros + 1), 2, 10).cast("bigint") - 1)
+        return F.struct(F.concat(state["values"], F.array(value)).alias("values"), F.when(whole, state["used"] + 2 * zeros + 1).otherwise(-1).alias("used"))
+
+    start = F.struct(F.array().cast("array<bigint>").alias("values"), F.lit(0).alias("used"))
+    end = lambda s: F.struct(s["values"], F.when(s["used"] >= 0, s["used"]).alias("used"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, step, end)  # -1 is the end: a start that cannot be null stays so
+
+
+def signed(number: Column) -> Column:
+    """The signed number of a code number, which has to fit 32 bits."""
+    half = F.shiftright(number + 1, 1)
+    return F.when(number % 2 == 1, half).otherwise(-half)

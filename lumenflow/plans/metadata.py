@@ -1,11 +1,11 @@
-"""Queries over file tags: parts are rendered as files and read back; see :mod:`registry`."""
+"""Queries over file tags and bit codes: rows are rendered as bytes and read back; see :mod:`registry`."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lumenflow.functions import tags
+from lumenflow.functions import bits, tags
 from lumenflow.plans.registry import _query, _table
 
 
@@ -81,3 +81,18 @@ def _vorbis(spark, sf_dir):
     short = F.length(block) - F.length(F.encode(texts[-1], "ISO-8859-1")) - 3
     cut = F.when(F.col("p_partkey") % 7 == 0, F.substring(block, F.lit(1), short)).otherwise(block)
     return _table(spark, sf_dir, "part").select("p_partkey", tags.vorbis(cut).alias("t")).select("p_partkey", "t.*")
+
+
+@_query(
+    "exp_golomb",
+    """WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey AS a, l_suppkey * 1000003 % 4294967295 AS b, CASE WHEN l_partkey % 2 = 0 THEN -l_suppkey ELSE l_suppkey END AS c FROM lineitem),
+    n AS (SELECT *, 2 * length(bin(a + 1)) + 2 * length(bin(b + 1)) + 2 * length(bin(CASE WHEN c > 0 THEN 2 * c ELSE 1 - 2 * c END)) - 3 AS used FROM v)
+    SELECT l_orderkey, l_linenumber, a, b, c, used, (used + 7) // 8 AS bytes FROM n""",
+)
+def _codes(spark, sf_dir):
+    part, supplier = F.col("l_partkey"), F.col("l_suppkey")
+    written = bits.packed(F.concat(bits.code(part), bits.code(supplier * 1000003 % 4294967295), bits.signed_code(F.when(part % 2 == 0, -supplier).otherwise(supplier))))
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", written.alias("data"))
+    read = lines.select("l_orderkey", "l_linenumber", F.length("data").cast("bigint").alias("bytes"), bits.codes(bits.bit_string(F.col("data")), 3).alias("r"))
+    value = lambda i: F.get("r.values", F.lit(i))
+    return read.select("l_orderkey", "l_linenumber", value(0).alias("a"), value(1).alias("b"), bits.signed(value(2)).alias("c"), F.col("r.used").cast("bigint").alias("used"), "bytes")
