@@ -29,16 +29,23 @@ def pick(index: Column, values: list) -> Column:
     return F.get(F.array(*map(F.lit, values)), index.cast("int"))
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def bit_string(data: Column) -> Column:
     """The bits of some bytes as zeros and ones."""
-    byte = lambda i: F.lpad(F.conv(F.hex(F.substring(data, i, 1)), 16, 2), 8, "0")
-    return F.when(F.length(data) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(data)), byte), "")).otherwise(F.when(data.isNotNull(), ""))
+    byte = lambda h, i: F.lpad(F.conv(F.substring(h, 2 * i - 1, F.lit(2)), 16, 2), 8, "0")
+    joined = lambda h: F.when(F.length(h) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.shiftright(F.length(h), 1)), lambda i: byte(h, i)), "")).otherwise(h)
+    return _once(F.hex(data), joined)
 
 
 def packed(bits: Column) -> Column:
     """Zeros and ones as bytes, the last filled up with zeros."""
-    byte = lambda i: F.lpad(F.conv(F.rpad(F.substring(bits, i, 8), 8, "0"), 2, 16), 2, "0")
-    return F.unhex(F.when(F.length(bits) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(bits), F.lit(8)), byte), "")).otherwise(F.when(bits.isNotNull(), "")))
+    byte = lambda s, i: F.lpad(F.conv(F.rpad(F.substring(s, i, F.lit(8)), 8, "0"), 2, 16), 2, "0")
+    joined = lambda s: F.when(F.length(s) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(s), F.lit(8)), lambda i: byte(s, i)), "")).otherwise(s)
+    return F.unhex(_once(bits, joined))
 
 
 def code(value: Column) -> Column:
@@ -56,16 +63,17 @@ def signed_code(value: Column) -> Column:
 def codes(bits: Column, n: int) -> Column:
     """``values``, the first ``n`` code numbers, and ``used``, the bits they take. From the first that is cut short or has 32 zeros on, values and ``used`` are null."""
 
-    def step(state: Column, _: Column) -> Column:
-        rest = F.substring(bits, state["used"] + 1, F.lit(64))
-        zeros = F.length(F.regexp_extract(rest, "^0*", 0))
-        whole = (state["used"] >= 0) & (zeros <= 31) & (F.length(rest) >= 2 * zeros + 1)
+    def step(given: Column, state: Column) -> Column:
+        rest = F.substring(given, state["used"] + 1, F.lit(64))
+        zeros = F.instr(rest, "1") - 1
+        whole = (state["used"] >= 0) & zeros.between(0, 31) & (F.length(rest) >= 2 * zeros + 1)
         value = F.when(whole, F.conv(F.substring(rest, zeros + 1, zeros + 1), 2, 10).cast("bigint") - 1)
         return F.struct(F.concat(state["values"], F.array(value)).alias("values"), F.when(whole, state["used"] + 2 * zeros + 1).otherwise(-1).alias("used"))
 
     start = F.struct(F.array().cast("array<bigint>").alias("values"), F.lit(0).alias("used"))
     end = lambda s: F.struct(s["values"], F.when(s["used"] >= 0, s["used"]).alias("used"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, step, end)  # -1 is the end: a start that cannot be null stays so
+    # -1 is the end: a start that cannot be null stays so
+    return _once(bits, lambda given: F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, lambda state, _: step(given, state), end))
 
 
 def signed(number: Column) -> Column:
