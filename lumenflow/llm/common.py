@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A lookup side whose groups hold at least this share of all rows has at most 1 / share rows.
@@ -18,6 +18,10 @@ HOT_SHARE = 1 / 1000
 BLOCK_BYTES = 16 << 20
 #: Ids that may be broadcast: 8 bytes each, a few times that as a hash table.
 BROADCAST_IDS = 250_000
+#: Bytes of long lookup rows that may be broadcast: the driver holds them several times over.
+BROADCAST_BYTES = 8 << 20
+#: Rows that share one copy of a lookup row where those are too long to be broadcast.
+COPY_ROWS = 64
 #: Rows of an Arrow batch: some megabytes of texts.
 BATCH_ROWS = 1000
 
@@ -84,6 +88,25 @@ def lookup_by_group(rows: DataFrame, groups: DataFrame, keys: list[str], size_co
     return found.unionByName(rest.select(*found.columns))
 
 
+def lookup_long_by_group(rows: DataFrame, groups: DataFrame, keys: list[str], size_col: str, bytes_of: Column, spread: Column) -> DataFrame:
+    """:func:`lookup_by_group` for ``groups`` whose rows are long: ``bytes_of`` is what each holds.
+
+    Hot groups of more than ``BROADCAST_BYTES`` in all are not broadcast, only their sizes are. Each
+    group is copied once for every ``COPY_ROWS`` of its rows, the rows are dealt over the copies by
+    ``spread``, and the join by shuffle has no hot task.
+    """
+    sums = groups.agg(F.sum(size_col).alias("n"), F.sum(bytes_of).alias("bytes")).first()
+    if (sums["bytes"] or 0) > BROADCAST_BYTES:
+        hot = groups.filter(F.col(size_col) >= max(2.0, sums["n"] * HOT_SHARE)).agg(F.sum(bytes_of).alias("bytes")).first()
+        if (hot["bytes"] or 0) > BROADCAST_BYTES:
+            copies = F.ceil(F.col(size_col) / F.lit(COPY_ROWS)).cast("long")
+            counted = lookup_by_group(rows, groups.select(*keys, size_col, copies.alias("_copies")), keys, size_col).drop(size_col)
+            dealt = counted.withColumn("_copy", F.pmod(spread, F.col("_copies"))).drop("_copies")
+            copied = groups.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
+            return dealt.join(copied.hint("merge"), [*keys, "_copy"], "left").drop("_copy")
+    return lookup_by_group(rows, groups, keys, size_col)
+
+
 def rows_with_ids(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """The ``rows`` whose id is in ``ids`` (a settled table): ids are broadcast if they are few enough, joined by shuffle else."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS

@@ -52,7 +52,7 @@ def differences(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     reference = votes.join(sizes.select("g", "voters"), "g").filter("2 * votes > voters").groupBy("g").agg(F.collect_list("item").alias("reference"))
     groups = common.settle(sizes.join(reference, "g", "left").select("g", "size", F.coalesce("reference", F.array().cast("array<long>")).alias("reference")), "near-references")
     d = F.concat(F.array_except("items", "reference"), F.array_except("reference", "items"))
-    told = common.lookup_by_group(held, groups.select("g", "size", "reference"), ["g"], "size").select("id", "g", "component", "n", d.alias("d"))
+    told = common.lookup_long_by_group(held, groups, ["g"], "size", F.lit(8) * F.size("reference"), F.xxhash64("id")).select("id", "g", "component", "n", d.alias("d"))
     excess = F.lit(100 + percent) * F.size("d") - F.lit(100 - percent) * F.col("n")
     return common.settle(told.select("id", "g", "component", excess.cast("long").alias("excess"), "d"), "near-differences")
 

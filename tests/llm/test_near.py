@@ -4,6 +4,7 @@ import random
 
 import helpers
 import pytest
+from pyspark.sql import functions as F
 
 from lumenflow.llm import common, residuals, tensor_minhash
 
@@ -115,3 +116,26 @@ def test_columns_named_as_inside(spark):
     text = " ".join(f"w{i}" for i in range(40))
     docs = spark.createDataFrame([(1, text, 7, "x"), (2, text, 8, "y")], "doc_id long, text string, held int, `a.b` string")
     assert [tuple(r) for r in tensor_minhash.drop_near_copies(docs).collect()] == [(1, text, 7, "x")]
+
+
+def test_long_references_are_not_broadcast(spark, monkeypatch):
+    sent, broadcast = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(df) or broadcast(df))
+    rows = spark.range(200).select("id", (F.col("id") % 40).alias("g"), F.col("id").alias("component"), F.lit(30_001).cast("long").alias("n"))
+    held = spark.range(200).select("id", F.concat(F.sequence((F.col("id") % 40) * 10**6, (F.col("id") % 40) * 10**6 + 29_999), F.array(-F.col("id") - 1)).alias("items"))
+    got = residuals.differences(common.settle(rows, "t"), common.settle(held, "t"), 80).collect()
+    assert sorted((r.id, r.g, r.component, r.excess, r.d) for r in got) == [(i, i % 40, i, 180 - 20 * 30_001, [-i - 1]) for i in range(200)]
+    for df in sent:
+        lists = [c for c, kind in df.dtypes if kind.startswith("array")]
+        assert sum(8 * len(r[c]) for r in df.select(*lists).collect() for c in lists) <= 8 << 20
+
+
+@pytest.mark.parametrize("copy_rows", [1, 3, 1000])
+def test_long_lookup_equals_plain_lookup(spark, monkeypatch, copy_rows):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(common, "COPY_ROWS", copy_rows)
+    rows = common.settle(spark.range(300).select("id", F.when(F.col("id") < 200, 7).otherwise(F.col("id") % 30).alias("g")), "t")
+    groups = common.settle(rows.filter("g <> 3").groupBy("g").agg(F.count("*").alias("size"), F.array(F.min("id"), F.max("id")).alias("long")), "t")
+    got = common.lookup_long_by_group(rows, groups, ["g"], "size", F.lit(16), F.xxhash64("id")).select("id", "g", "size", "long").collect()
+    want = rows.join(groups, "g", "left").select("id", "g", "size", "long").collect()
+    assert len(got) == 300 and sorted(map(str, got)) == sorted(map(str, want))
