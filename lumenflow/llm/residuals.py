@@ -14,7 +14,8 @@ sets of the group have.
 Steps over component labels, which shrink in each: (1) every set is linked with the set of least
 excess where both excesses sum to at most 0, for which nothing needs to be shared; what remains
 needs common items in the differences. (2) ``ROUNDS`` of minhash tables over the differences: each
-set is compared with the set of least excess of its bucket. (3) Sets still in different components
+set is compared with the set of least excess of its bucket; where the groups hold few pairs there
+is no round. (3) Sets still in different components
 are joined exactly by prefixes of their differences. All steps decide by the formula, so what they
 return are links and no link between two components is lost.
 """
@@ -38,6 +39,8 @@ VOTERS = 31
 ROUNDS, TABLES, DEPTH = 3, 16, 2
 #: A further round follows one that joined at least this share of the components.
 WORTH = 1 / 50
+#: Pairs within groups that the exact join takes without a round before it.
+FEW_PAIRS = 20_000
 
 _U = np.uint64
 
@@ -169,8 +172,9 @@ def component_links(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows = differences(met, sets, percent)
     links = common.settle(_nearest(rows), "near-nearest")
     shared = _shared(_relabelled(rows, links))
-    components = rows.select("component").distinct().count()
-    for seed in range(ROUNDS):
+    pairs = shared.groupBy("g").agg(F.count("*").alias("n")).agg(F.sum(F.expr("n * (n - 1) div 2")).alias("pairs")).first()["pairs"] or 0
+    components = rows.select("component").distinct().count() if pairs > FEW_PAIRS else 0
+    for seed in range(ROUNDS if pairs > FEW_PAIRS else 0):
         new = common.settle(_linked(common.settle(_starred(shared, seed), "near-starred"), shared, percent), "near-starred-links")
         found = new.count()
         if found:
@@ -178,6 +182,7 @@ def component_links(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if found < components * WORTH:
             break
         shared = _relabelled(shared, links)
-    shared = _shared(_relabelled(rows, links))
+    if pairs > FEW_PAIRS:
+        shared = _shared(_relabelled(rows, links))
     last = common.settle(_linked(common.settle(_joined(shared, percent), "near-joined"), shared, percent), "near-joined-links")
     return links.unionByName(last)

@@ -6,7 +6,7 @@ import helpers
 import pytest
 from pyspark.sql import functions as F
 
-from lumenflow.llm import common, residuals, tensor_minhash
+from lumenflow.llm import common, components as labelling, residuals, tensor_minhash
 
 
 def tight_group(n, seed, edits=(3, 7), length=150):
@@ -139,3 +139,28 @@ def test_long_lookup_equals_plain_lookup(spark, monkeypatch, copy_rows):
     got = common.lookup_long_by_group(rows, groups, ["g"], "size", F.lit(16), F.xxhash64("id")).select("id", "g", "size", "long").collect()
     want = rows.join(groups, "g", "left").select("id", "g", "size", "long").collect()
     assert len(got) == 300 and sorted(map(str, got)) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("at_once", [0, labelling.AT_ONCE])
+def test_components_of_a_chain_by_either_way(spark, counts, monkeypatch, at_once):
+    monkeypatch.setattr(labelling, "AT_ONCE", at_once)
+    rng = random.Random(3)
+    names = rng.sample(range(-(10**12), 10**12), 300)
+    links = [(names[k], names[k + 1]) for k in range(299) if k % 100 != 99] + [(names[5], names[5]), (names[7], names[3])]
+    got = {r.id: r.component for r in labelling.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: min(names[k // 100 * 100 : k // 100 * 100 + 100]) for k, x in enumerate(names)}
+    assert labelling.connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+    if at_once:
+        assert set(counts) == {"links"}
+
+
+def test_few_pairs_need_no_rounds(spark, counts, monkeypatch):
+    texts = tight_group(60, 9, (3, 9))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = components({i: shingles(t, 5) for i, t in enumerate(texts)})
+    assert {r.doc_id: r.component_id for r in tensor_minhash.near_groups(docs, words=5).collect()} == want
+    assert "near-joined" in counts and "near-starred" not in counts
+    monkeypatch.setattr(residuals, "FEW_PAIRS", 0)
+    monkeypatch.setattr(labelling, "AT_ONCE", 0)
+    assert {r.doc_id: r.component_id for r in tensor_minhash.near_groups(docs, words=5).collect()} == want
+    assert "near-starred" in counts
