@@ -155,8 +155,8 @@ def _arithmetic(spark, sf_dir):
     SELECT event_id, CAST(greatest(least(x, {timebase.MOST}), {-timebase.MOST - 1}) AS BIGINT) AS saturated, CASE WHEN x BETWEEN {-timebase.MOST - 1} AND {timebase.MOST} THEN CAST(x AS BIGINT) END AS checked FROM e""",
 )
 def _bounds(spark, sf_dir):
-    x = (F.col("event_id") - 5000) * 18446744073709
-    return _table(spark, sf_dir, "events").select("event_id", timebase.rescale(x, (1, 1), (1, 1000)).alias("saturated"), timebase.checked_rescale(x, (1, 1), (1, 1000)).alias("checked"))
+    x, base = F.col("event_id") - 5000, (18446744073709, 1)  # the factor is in the time base: x times it need not fit 64 bits
+    return _table(spark, sf_dir, "events").select("event_id", timebase.rescale(x, base, (1, 1000)).alias("saturated"), timebase.checked_rescale(x, base, (1, 1000)).alias("checked"))
 
 
 _FORMATS = ("u8", "s16", "s32", "f32", "f64", "s24")

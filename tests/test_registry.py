@@ -31,3 +31,14 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 1000
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_bounds_of_large_ids(spark, tmp_path):
+    """The ids of larger tables: 500 times sf0.01's and beyond, of both signs."""
+    ids = [0, 4_999, 5_000, 505_000, 505_001, 600_000, 6_000_000, -600_000, 1 << 40, -(1 << 40)]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = c.sql(registry.ORACLE_SQL["rescale_bounds"]).fetchall()
+    got = [tuple(r) for r in registry.QUERIES["rescale_bounds"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and len(got) == len(ids)
