@@ -22,6 +22,11 @@ BROADCAST_IDS = 250_000
 BROADCAST_BYTES = 8 << 20
 #: Rows that share one copy of a lookup row where those are too long to be broadcast.
 COPY_ROWS = 64
+#: Bytes of a file that Spark may broadcast unasked. It goes by the size of the file, which says little of the
+#: rows: a few columns of it exploded into 64 rows each are a hundred times what Spark expects.
+FILE_BROADCAST = "64k"
+#: Bytes of rows, as counted when they were shuffled, that Spark may broadcast unasked.
+ROWS_BROADCAST = "1m"
 #: Rows of an Arrow batch: some megabytes of texts.
 BATCH_ROWS = 1000
 
@@ -50,9 +55,12 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the workers this package, once for each application, and keep Arrow batches of long texts small."""
+    """Give the workers this package, once for each application; keep Arrow batches of long texts, and what Spark broadcasts unasked, small."""
     sc = spark.sparkContext
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if not spark.conf.get("spark.sql.autoBroadcastJoinThreshold").startswith("-"):  # -1: broadcasts are off
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", FILE_BROADCAST)
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", ROWS_BROADCAST)
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parents[1]

@@ -164,3 +164,24 @@ def test_few_pairs_need_no_rounds(spark, counts, monkeypatch):
     monkeypatch.setattr(labelling, "AT_ONCE", 0)
     assert {r.doc_id: r.component_id for r in tensor_minhash.near_groups(docs, words=5).collect()} == want
     assert "near-starred" in counts
+
+
+def test_exploded_files_are_not_broadcast(spark, tmp_path):
+    """A join with a few columns of a file, exploded: Spark takes it for as small as they are."""
+    before = {c: spark.conf.get(c, None) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+        common.ship(spark)
+        spark.range(4000).select("id", F.array(*(F.xxhash64("id", F.lit(i)) for i in range(32))).alias("keys")).write.parquet(f"{tmp_path}/a")
+        rows = spark.read.parquet(f"{tmp_path}/a").select("id", F.explode("keys").alias("key"))
+        joined = rows.join(rows.groupBy("key").agg(F.count("*").alias("n")), "key")
+        assert joined.count() == 4000 * 32
+        assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+        joined.write.format("noop").mode("overwrite").save()
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        common.ship(spark)
+        assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "-1"
+    finally:
+        for c, v in before.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
