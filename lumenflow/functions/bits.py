@@ -34,18 +34,25 @@ def _once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+#: Bytes that one conversion of base takes; the largest number of 8 is its mark of an overflow.
+_BYTES = 7
+
+
 def bit_string(data: Column) -> Column:
     """The bits of some bytes as zeros and ones."""
-    byte = lambda h, i: F.lpad(F.conv(F.substring(h, 2 * i - 1, F.lit(2)), 16, 2), 8, "0")
-    joined = lambda h: F.when(F.length(h) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.shiftright(F.length(h), 1)), lambda i: byte(h, i)), "")).otherwise(h)
+    bits = lambda h: F.lpad(F.conv(h, 16, 2), 4 * F.length(h), F.lit("0"))
+    part = lambda h, i: _once(F.substring(h, i, F.lit(2 * _BYTES)), bits)
+    joined = lambda h: F.when(F.length(h) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(h), F.lit(2 * _BYTES)), lambda i: part(h, i)), "")).otherwise(h)
     return _once(F.hex(data), joined)
 
 
 def packed(bits: Column) -> Column:
     """Zeros and ones as bytes, the last filled up with zeros."""
-    byte = lambda s, i: F.lpad(F.conv(F.rpad(F.substring(s, i, F.lit(8)), 8, "0"), 2, 16), 2, "0")
-    joined = lambda s: F.when(F.length(s) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(s), F.lit(8)), lambda i: byte(s, i)), "")).otherwise(s)
-    return F.unhex(_once(bits, joined))
+    digits = lambda s: F.lpad(F.conv(s, 2, 16), F.shiftright(F.length(s), 2), F.lit("0"))
+    part = lambda s, i: _once(F.substring(s, i, F.lit(8 * _BYTES)), digits)
+    filled = lambda s: F.rpad(s, F.shiftright(F.length(s) + 7, 3) * 8, F.lit("0"))
+    joined = lambda s: F.when(F.length(s) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(s), F.lit(8 * _BYTES)), lambda i: part(s, i)), "")).otherwise(s)
+    return F.unhex(_once(_once(bits, filled), joined))
 
 
 def code(value: Column) -> Column:
@@ -63,12 +70,14 @@ def signed_code(value: Column) -> Column:
 def codes(bits: Column, n: int) -> Column:
     """``values``, the first ``n`` code numbers, and ``used``, the bits they take. From the first that is cut short or has 32 zeros on, values and ``used`` are null."""
 
+    def read(state: Column, rest: Column, zeros: Column) -> Column:
+        value = lambda whole: F.when(whole, F.conv(F.substring(rest, zeros + 1, zeros + 1), 2, 10).cast("bigint") - 1)
+        ends = zeros.between(0, 31) & (F.length(rest) >= 2 * zeros + 1)
+        return _once(ends, lambda whole: F.struct(F.concat(state["values"], F.array(value(whole))).alias("values"), F.when(whole, state["used"] + 2 * zeros + 1).otherwise(-1).alias("used")))
+
     def step(given: Column, state: Column) -> Column:
-        rest = F.substring(given, state["used"] + 1, F.lit(64))
-        zeros = F.instr(rest, "1") - 1
-        whole = (state["used"] >= 0) & zeros.between(0, 31) & (F.length(rest) >= 2 * zeros + 1)
-        value = F.when(whole, F.conv(F.substring(rest, zeros + 1, zeros + 1), 2, 10).cast("bigint") - 1)
-        return F.struct(F.concat(state["values"], F.array(value)).alias("values"), F.when(whole, state["used"] + 2 * zeros + 1).otherwise(-1).alias("used"))
+        rest = F.when(state["used"] >= 0, F.substring(given, state["used"] + 1, F.lit(64))).otherwise("")  # "" has no code
+        return _once(rest, lambda rest: _once(F.instr(rest, "1") - 1, lambda zeros: read(state, rest, zeros)))
 
     start = F.struct(F.array().cast("array<bigint>").alias("values"), F.lit(0).alias("used"))
     end = lambda s: F.struct(s["values"], F.when(s["used"] >= 0, s["used"]).alias("used"))
