@@ -148,8 +148,7 @@ def _mp4_index(spark, sf_dir):
     files = tracks._samples(spark, sf_dir).groupBy("track").agg(F.sort_array(F.collect_list(sample)).alias("samples"))
     files = files.select(F.col("track").cast("string").alias("path"), containers.mp4_writer(F.col("samples")).alias("content"))
     rows = containers.scan(files, "mp4_samples")
-    first = F.min("at").over(timeline.Window.partitionBy("path"))
-    return rows.select(F.col("path").cast("bigint").alias("track"), "sample", "size", "duration", "dts", "cts", (F.col("at") - first).alias("at"), "sync")
+    return rows.select(F.col("path").cast("bigint").alias("track"), "sample", "size", "duration", "dts", "cts", (F.col("at") - F.col("media")).alias("at"), "sync")
 
 
 @_query("matroska_frames", f"WITH {tracks._S} SELECT track AS path, p % 3 + 1 AS track, n * 700 AS time, n % 4 = 1 AS key, q AS size FROM s")

@@ -4,6 +4,7 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumenflow.functions import sniffing
 from lumenflow.sources import containers as c
@@ -80,3 +81,37 @@ def test_scan_of_nulls_and_many_rows(spark):
     got = c.scan(files, "mp4_samples").selectExpr("count(*)", "count(distinct n)", "max(dts)").first()
     assert tuple(got) == (9000, 9000, 8999)
     assert c.read_wav(files).count() == 0 and struct.calcsize("<I") == 4
+
+
+def test_rows_of_many_files_in_a_batch(spark):
+    """Small files share a batch of rows, batches of files are small, and places are told from the first media data on."""
+    import pyarrow as pa
+
+    class Files:
+        sparkSession = spark
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    files = [c.mp4_file([3, 1, 4], [1, 1, 1], [0, 0, 0], [True] * 3) for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(map(str, range(300)), pa.string()), pa.array(files, pa.binary())], names=["path", "content"])
+    got = list(c.scan(Files(), "mp4_samples")([batch, batch.slice(0, 0), batch]))
+    assert [b.num_rows for b in got] == [1800]
+    rows = got[0].to_pylist()
+    assert [(r["path"], r["n"], r["size"], r["at"] - r["media"]) for r in rows[:6]] == [("0", 0, 3, 0), ("0", 1, 1, 3), ("0", 2, 4, 4), ("1", 0, 3, 0), ("1", 1, 1, 3), ("1", 2, 4, 4)]
+    assert [b.num_rows for b in c.scan(Files(), "mp4_samples")([batch] * 5)] == [4096, 404]
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_written_files_are_walked_as_written(spark):
+    """Writers read the fields of their structs apart: nulls, empty arrays and slices included."""
+    tracks = [[{"size": 3, "duration": 5, "shift": -1, "sync": True}, {"size": 2, "duration": 5, "shift": 0, "sync": False}], None, [], [{"size": 9, "duration": 1, "shift": 0, "sync": True}]]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(tracks)], "path string, t array<struct<size: long, duration: long, shift: long, sync: boolean>>").coalesce(1)
+    files = {r.path: r.f for r in df.select("path", c.mp4_writer(F.col("t")).alias("f")).collect()}
+    want = [None if t is None else c.mp4_file(*([s[k] for s in t] for k in ("size", "duration", "shift", "sync"))) for t in tracks]
+    assert [files[str(i)] for i in range(4)] == want
