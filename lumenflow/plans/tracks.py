@@ -17,9 +17,16 @@ _S = "s AS (SELECT l_orderkey AS track, row_number() OVER (PARTITION BY l_orderk
 _BEFORE = "OVER (PARTITION BY track ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
 
+#: Rows that one task sorts: windows hold some hundred bytes for each, once for each order they ask for.
+TASK_ROWS = 200_000
+
+
 def _samples(spark, sf_dir):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    return _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("track"), F.row_number().over(w).cast("bigint").alias("n"), F.col("l_quantity").cast("bigint").alias("q"), F.col("l_partkey").alias("p"))
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    # Partitions grow in number with the rows (which Parquet's footers tell), not in size; the windows by track keep them.
+    lines = lines.repartition(max(spark.sparkContext.defaultParallelism, -(-lines.count() // TASK_ROWS)), "l_orderkey")
+    return lines.select(F.col("l_orderkey").alias("track"), F.row_number().over(w).cast("bigint").alias("n"), F.col("l_quantity").cast("bigint").alias("q"), F.col("l_partkey").alias("p"))
 
 
 def _running(c):

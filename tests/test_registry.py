@@ -42,3 +42,11 @@ def test_bounds_of_large_ids(spark, tmp_path):
     want = c.sql(registry.ORACLE_SQL["rescale_bounds"]).fetchall()
     got = [tuple(r) for r in registry.QUERIES["rescale_bounds"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want) and len(got) == len(ids)
+
+
+def test_partitions_of_samples_grow_with_rows(spark, monkeypatch):
+    """A task's windows hold so many rows, however many there are."""
+    monkeypatch.setattr(tracks, "TASK_ROWS", 100)
+    n = spark.read.parquet(f"{DIR}/lineitem.parquet").count()
+    assert tracks._samples(spark, DIR).rdd.getNumPartitions() == -(-n // 100) > 50
+    assert registry.QUERIES["mp4_chunking"](spark, DIR).rdd.getNumPartitions() == -(-n // 100)
