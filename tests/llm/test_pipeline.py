@@ -4,6 +4,8 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
 from test_near import components, shingles
 
 import corpus_pipeline
@@ -79,3 +81,31 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_does_not_broadcast_table_keys(spark, monkeypatch):
+    """Each text has a row for each of 64 tables, of which Spark sees the size of two columns of a file."""
+    settle = corpus_pipeline.common.settle
+    conf = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {c: spark.conf.get(c, None) for c in conf}
+
+    class Seen(Exception):
+        pass
+
+    def until_members(df, tag):
+        if tag == "near-members":
+            raise Seen(df._jdf.queryExecution().executedPlan().toString())
+        return settle(df, tag)
+
+    monkeypatch.setattr(corpus_pipeline.common, "settle", until_members)
+    word = F.concat(F.lit("w"), F.floor(F.col("id") / 2))
+    docs = spark.range(12_000).select(F.col("id").alias("doc_id"), F.concat(F.array_join(F.array_repeat(word, 3), " "), F.repeat(F.concat(F.lit(" "), word), 30), F.when(F.col("id") % 2 == 1, " end").otherwise("")).alias("text"))
+    try:
+        spark.conf.set(conf[0], "10m")
+        spark.conf.unset(conf[1])
+        with pytest.raises(Seen) as plan:
+            corpus_pipeline.near_copies(spark, docs, SF)
+        assert "BroadcastHashJoin" not in str(plan.value)
+    finally:
+        for c, v in before.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
