@@ -28,6 +28,7 @@ encoded each. An empty table gives an empty result. Extra columns are ignored, w
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 import zlib
@@ -88,10 +89,20 @@ class PieceLattice:
             if score > RESERVED:
                 worst = min(worst, score)
         self._unknown = worst - PENALTY
+        self._first = {c: self._frozen({"": self._byte_edge(c)} | node) for c, node in self._root.items()}.get
         self._memo: dict[str, tuple[float, bytes, float]] = {}
         self._paths: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
         self._held = [0, 0]  # bytes in either
 
+    def _byte_edge(self, c: str) -> tuple[float, bytes]:
+        """Score and ids of a character without a piece."""
+        return self._unknown, b"".join([self._bytes[b].to_bytes(4, "little") for b in c.encode("utf-8", "surrogatepass")])
+
+    def _frozen(self, node: dict) -> tuple:
+        """A node of the trie as :meth:`_learn` walks it: the way to the next nodes, score and ids of the piece that ends there (None where none does)."""
+        score, ids = node.get("", (0.0, None))
+        return {c: self._frozen(x) for c, x in node.items() if c}.get, score, ids
+
     def _forward(self, unit: str) -> tuple[list[float], list[list[tuple[int, float, bytes]]]]:
         """Best score of each prefix, and the edges (start, score, ids) into each position."""
         n = len(unit)
@@ -103,7 +114,7 @@ class PieceLattice:
             node, j, here = root, i, best[i]
             first = root.get(unit[i])
             if first is None or "" not in first:
-                into[i + 1].append((i, self._unknown, b"".join([self._bytes[b].to_bytes(4, "little") for b in unit[i].encode("utf-8", "surrogatepass")])))
+                into[i + 1].append((i, *self._byte_edge(unit[i])))
                 if here + self._unknown > best[i + 1]:
                     best[i + 1] = here + self._unknown
             for c in unit[i : i + self._longest]:
@@ -120,22 +131,51 @@ class PieceLattice:
         return best, into
 
     def _learn(self, unit: str) -> tuple[float, bytes, float]:
-        """Best score, its ids, and what the second path costs: the first backward steps of the search."""
-        best, into = self._forward(unit)
-        j, rest, ids, second = len(unit), 0.0, [], -_NONE
+        """Best score, its ids, and what the second path costs: the first backward steps of the search.
+
+        They need no more of the edges into a position than the best (of equal ones the first) and the score of the next.
+        """
+        n, first, longest = len(unit), self._first, self._longest
+        best = [-_NONE] * (n + 1)
+        best[0] = 0.0
+        other = [-_NONE] * (n + 1)
+        start, edge = [0] * (n + 1), [None] * (n + 1)
+        for i in range(n):
+            get, j, here = first, i, best[i]
+            for c in unit[i : i + longest]:
+                node = get(c)
+                if node is None:
+                    break
+                j += 1
+                get, score, ids = node
+                if ids is not None:
+                    f = here + score
+                    if f > best[j]:
+                        other[j] = best[j]
+                        best[j] = f
+                        start[j] = i
+                        edge[j] = node
+                    elif f > other[j]:
+                        other[j] = f
+            if j == i:
+                node = (None, *self._byte_edge(unit[i]))
+                j += 1
+                f = here + node[1]
+                if f > best[j]:
+                    other[j], best[j], start[j], edge[j] = best[j], f, i, node
+                elif f > other[j]:
+                    other[j] = f
+        j, rest, path, second = n, 0.0, [], -_NONE
         while j:
-            goal, taken = best[j], -1
-            for i, score, x in into[j]:
-                f = best[i] + score
-                if f == goal and taken < 0:
-                    taken, step = i, score
-                    ids.append(x)
-                elif f + rest > second:
-                    second = f + rest
-            rest += step
-            j = taken
-        ids.reverse()
-        return best[-1], b"".join(ids), best[-1] - second
+            f = other[j] + rest
+            if f > second:
+                second = f
+            _, score, ids = edge[j]
+            path.append(ids)
+            rest += score
+            j = start[j]
+        path.reverse()
+        return best[n], b"".join(path), best[n] - second
 
     def unit_paths(self, unit: str, n: int) -> list[tuple[float, bytes]]:
         """The ``n`` best paths of a unit: backward A* with the forward scores as heuristic."""
@@ -162,24 +202,26 @@ class PieceLattice:
             return [(0.0, b"")]
         units = _UNIT.findall(MARK + text.replace(" ", MARK))
         memo = self._memo
-        try:
-            known = [memo[u] for u in units]
-        except KeyError:
-            known = []
-            for u in units:
-                got = memo.get(u)
+        known = list(map(memo.get, units))
+        if None in known:
+            for k, got in enumerate(known):
                 if got is None:
-                    got = self._learn(u)
-                    if len(u) <= MEMO_CHARS:
-                        self._remember(0, memo, u, got, 350 + 4 * len(u) + len(got[1]))
-                known.append(got)
+                    u = units[k]
+                    got = memo.get(u)  # it may have come earlier in the text
+                    if got is None:
+                        got = self._learn(u)
+                        if len(u) <= MEMO_CHARS:
+                            self._remember(0, memo, u, got, 350 + 4 * len(u) + len(got[1]))
+                    known[k] = got
         scores, ids, costs = zip(*known, strict=True)
         total = sum(scores)
         out = [(total, b"".join(ids))]
         if n == 1:
             return out
-        at = heapq.nsmallest(n - 1, range(len(units)), key=costs.__getitem__)
-        at = [a for a in at if costs[a] < _NONE]
+        at, left = [], list(costs)
+        while len(at) < n - 1 and (least := min(left)) < _NONE:  # of equal ones the first
+            at.append(left.index(least))
+            left[at[-1]] = _NONE
         choices = [self._unit_paths_memo(units[a], n) for a in at]
         loss = [[c[0][0] - s for s, _ in c] for c in choices]
         # Choices as tuples of ranks; each is reached once, from the one with its last change one less.
@@ -237,7 +279,7 @@ _OUT = "doc_id long, n_best int, scores array<double>, n_pieces array<long>, ids
 
 
 def _encode(path: str, n: int, keep_ids: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattice(path)
         for b in batches:
             scores, pieces, crcs, good, ids = [], [], [], [], []
@@ -257,6 +299,15 @@ def _encode(path: str, n: int, keep_ids: bool):
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = gc.isenabled()
+        gc.disable()  # the memo grows by tuples that no cycle holds, and each collection would go through them
+        try:
+            yield from encoded(batches)
+        finally:
+            if on:
+                gc.enable()
+
     return run
 
 

@@ -1,3 +1,4 @@
+import gc
 import math
 import random
 import re
@@ -8,6 +9,7 @@ from collections import Counter
 import helpers
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from lumenflow.llm import exact_packing, license_rules, line_blocks, pii_boost, quality_llr, sp_nbest, subword_classifier
@@ -274,6 +276,30 @@ def test_memo_is_bounded_by_bytes(monkeypatch):
     assert len(m._memo) == before and m.nbest("word0 and more", 3) == first
 
 
+def test_nbest_unit_costs_and_no_collections():
+    """The first backward steps agree with the whole search, ties and unknown characters too; the memo is not collected as it grows."""
+    path = str(public_tokenizers.path("piece_bpe_32k.model"))
+    m = sp_nbest.lattice(path)
+    mark, pieces = sp_nbest.MARK, "the ing er and on é ß \n 漢 \u0378 a aa b , .".split(" ")
+    for k in range(400):
+        unit = mark * (k % 3) + "".join(pieces[(k * 7919 >> s) % len(pieces)] for s in range(k % 7)) or mark
+        score, ids, cost = m._learn(unit)
+        two = m.unit_paths(unit, 2)
+        assert (score, ids) == two[0] and cost == (score - two[1][0] if len(two) > 1 else float("inf"))
+    ran = []
+    gc.callbacks.append(lambda phase, info: ran.append(phase))
+    try:
+        texts = pa.array([" ".join(f"w{k * 7919 + i}x{k}" for i in range(300)) for k in range(40)])
+        batches = [pa.RecordBatch.from_arrays([pa.array(range(40)), texts], names=["doc_id", "text"])]
+        out = sp_nbest._encode(path, 4, False)(iter(batches))
+        del ran[:]
+        assert next(out).num_rows == 40 and not ran
+        out.close()
+        assert gc.isenabled()
+    finally:
+        gc.callbacks.pop()
+
+
 def test_nbest_cases(spark):
     got = sp_nbest.segment(helpers.documents(spark), str(public_tokenizers.path("piece_bpe_32k.model")), keep_ids=True).collect()
     assert len(got) == len(helpers.TEXTS) and all(r.round_trip for r in got)
