@@ -20,6 +20,8 @@ BLOCK_BYTES = 16 << 20
 BROADCAST_IDS = 250_000
 #: Bytes of long lookup rows that may be broadcast: the driver holds them several times over.
 BROADCAST_BYTES = 8 << 20
+#: Rows of an id and a hash that may be broadcast: about 150 bytes each in the driver's hash table, so as many as ``BROADCAST_BYTES`` hold.
+BROADCAST_MARKS = 50_000
 #: Rows that share one copy of a lookup row where those are too long to be broadcast.
 COPY_ROWS = 64
 #: Bytes of a file that Spark may broadcast unasked. It goes by the size of the file, which says little of the
@@ -119,3 +121,9 @@ def rows_with_ids(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """The ``rows`` whose id is in ``ids`` (a settled table): ids are broadcast if they are few enough, joined by shuffle else."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return rows.join(F.broadcast(ids) if few else ids, id_col, "left_semi")
+
+
+def marks(rows: DataFrame) -> DataFrame:
+    """``rows`` of an id and a hash (a settled table) for the right side of a join: broadcast if they are few enough, joined by shuffle else."""
+    few = rows.limit(BROADCAST_MARKS + 1).count() <= BROADCAST_MARKS
+    return F.broadcast(rows) if few else rows

@@ -128,8 +128,7 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataF
 def _sets_of(ids: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """(id, items) of the classes in ``ids`` (settled), from one row of each class."""
     chosen = common.settle(classes.join(ids, "id").select("id", F.col("doc_id").alias("at"), F.col("mark").alias("by")), "near-chosen")
-    few = chosen.limit(common.BROADCAST_IDS + 1).count() <= common.BROADCAST_IDS
-    found = docs.join(F.broadcast(chosen) if few else chosen, F.col("doc_id").eqNullSafe(F.col("at")) & (F.col("mark") == F.col("by"))).select("id", "text")
+    found = docs.join(common.marks(chosen), F.col("doc_id").eqNullSafe(F.col("at")) & (F.col("mark") == F.col("by"))).select("id", "text")
     sets = common.settle(found.mapInArrow(_sets(words), "id long, items array<long>"), "near-sets")
     return sets if sets.count() == chosen.count() else common.settle(sets.dropDuplicates(["id"]), "near-sets-once")
 
@@ -211,14 +210,12 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     common.ship(docs.sparkSession)
     told = common.settle(_decided(_marked(docs, id_col, text_col), words, percent).select("doc_id", "mark", "n_shingles", (F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("mark") == F.col("stays.mark"))).alias("kept")), "near-decided")
     gone = common.settle(told.filter("NOT kept").select(F.col("doc_id").alias("at"), F.col("mark").alias("by")).distinct(), "near-gone")
-    few = gone.limit(common.BROADCAST_IDS + 1).count() <= common.BROADCAST_IDS
     rows = _marked(docs, id_col, text_col, F.struct(*(F.col(common.quoted(c)) for c in docs.columns)).alias("held")).drop("text")
     same = F.col("doc_id").eqNullSafe(F.col("at")) & (F.col("mark") == F.col("by"))
-    left = rows.join(F.broadcast(gone) if few else gone, same, "left_anti")
+    left = rows.join(common.marks(gone), same, "left_anti")
     twice = common.settle(told.filter("kept AND n_shingles > 0").groupBy(F.col("doc_id").alias("at"), F.col("mark").alias("by")).agg(F.count("*").alias("n")).filter("n > 1").select("at", "by"), "near-twice")
     if not twice.isEmpty():
-        few = twice.limit(common.BROADCAST_IDS + 1).count() <= common.BROADCAST_IDS
-        again = F.broadcast(twice) if few else twice
+        again = common.marks(twice)
         one = left.join(again, same, "left_semi").groupBy("doc_id", "mark").agg(F.first("held").alias("held")).select("held")
         left = left.join(again, same, "left_anti").select("held").unionByName(one)
     return left.select("held.*")

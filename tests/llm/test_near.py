@@ -185,3 +185,21 @@ def test_exploded_files_are_not_broadcast(spark, tmp_path):
     finally:
         for c, v in before.items():
             spark.conf.unset(c) if v is None else spark.conf.set(c, v)
+
+
+def test_many_ids_and_hashes_are_not_broadcast(spark, monkeypatch):
+    """Rows of an id and a hash take about 150 bytes each in the hash table that the driver builds."""
+    sent, broadcast, n = [], F.broadcast, 60_000
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(df) or broadcast(df))
+    docs = common.settle(tensor_minhash._marked(spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b c d e w"), "id").alias("text")), "doc_id", "text"), "t")
+    classes = common.settle(docs.select((F.col("doc_id") + n).alias("id"), "doc_id", "mark"), "t")
+    sets = tensor_minhash._sets_of(classes.select("id"), classes, docs, 5)
+    assert sets.count() == sets.select("id").distinct().count() == sets.filter("size(items) = 2").count() == n
+
+    own = F.struct("doc_id", "mark")
+    told = docs.filter(f"doc_id < {n - 10}").select("doc_id", "mark", F.lit(2).alias("n_shingles"), F.struct((F.col("doc_id") - 1).alias("doc_id"), "mark").alias("stays"))
+    kept = docs.filter(f"doc_id >= {n - 10}").select("doc_id", "mark", F.lit(2).alias("n_shingles"), own.alias("stays"))
+    monkeypatch.setattr(tensor_minhash, "_decided", lambda *_: told.unionByName(kept))
+    left = tensor_minhash.drop_near_copies(docs.select("doc_id", "text"))
+    assert sorted(r.doc_id for r in left.collect()) == list(range(n - 10, n))
+    assert all(150 * df.count() <= common.BROADCAST_BYTES for df in sent)
